@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from ripplegraph.llm import chat_format
+from ripplegraph.llm import chat_format, url_filter, warc
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": chat_format.op1_chat_format,
+        "op6_warc": warc.op6_warc,
+        "op10_url_filter": url_filter.op10_url_filter,
     }
 
 
 def oracle_sql() -> dict:
     return {
         "op1_chat_format": chat_format.ORACLE,
+        "op6_warc": warc.ORACLE,
+        "op10_url_filter": url_filter.ORACLE,
     }
