@@ -89,12 +89,12 @@ def shingles(w: np.ndarray, k: int = 5) -> np.ndarray:
     return mix(h + U(k))
 
 
-def chunks(texts: list[str | None], chars: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts (null: empty) of about so many characters, with the number of the first."""
+def chunks(texts: list[str | None], chars: int = CHUNK_CHARS, most: int = 4096) -> Iterator[tuple[int, list[str]]]:
+    """Runs of at most so many texts (null: empty) and about so many characters, with the number of the first."""
     at = size = 0
     for i, t in enumerate(texts):
         size += len(t or "")
-        if size >= chars:
+        if size >= chars or i + 1 - at >= most:
             yield at, [x or "" for x in texts[at : i + 1]]
             at, size = i + 1, 0
     if at < len(texts):
