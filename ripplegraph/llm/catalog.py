@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from ripplegraph.llm import chat_format, language_id, url_filter, warc
+from ripplegraph.llm import chat_format, language_id, toxicity, url_filter, warc
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": chat_format.op1_chat_format,
         "op2_language_id": language_id.op2_language_id,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op6_warc": warc.op6_warc,
         "op10_url_filter": url_filter.op10_url_filter,
     }
