@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ripplegraph.llm import chat_format, language_id, toxicity, url_filter, warc
+from ripplegraph.llm import chat_format, language_id, packing, toxicity, url_filter, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_chat_format": chat_format.op1_chat_format,
         "op2_language_id": language_id.op2_language_id,
         "op3_toxicity": toxicity.op3_toxicity,
+        "op4_packing": packing.op4_packing,
         "op6_warc": warc.op6_warc,
         "op10_url_filter": url_filter.op10_url_filter,
     }
