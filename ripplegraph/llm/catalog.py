@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ripplegraph.llm import chat_format, graph_ann, language_id, packing, toxicity, url_filter, warc
+from ripplegraph.llm import chat_format, decontaminate, graph_ann, language_id, packing, toxicity, url_filter, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_packing": packing.op4_packing,
         "op6_warc": warc.op6_warc,
+        "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_graph_ann": graph_ann.op9_graph_ann,
         "op10_url_filter": url_filter.op10_url_filter,
     }
