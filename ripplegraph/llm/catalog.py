@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ripplegraph.llm import chat_format, decontaminate, graph_ann, language_id, packing, toxicity, url_filter, warc
+from ripplegraph.llm import chat_format, decontaminate, graph_ann, jaccard_join, language_id, packing, toxicity, url_filter, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_language_id": language_id.op2_language_id,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_packing": packing.op4_packing,
+        "op5_jaccard_join": jaccard_join.op5_jaccard_join,
         "op6_warc": warc.op6_warc,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_graph_ann": graph_ann.op9_graph_ann,
