@@ -12,6 +12,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: What a Python worker gets at once, unless the session says less: rows of long texts add up fast.
+ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
+
 _shipped: set[str] = set()
 
 
@@ -27,7 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once an application, so that Python workers can import it anywhere."""
+    """Send this package to the executors, once an application, so that Python workers can import it anywhere; bound their batches."""
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}", "0").rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
