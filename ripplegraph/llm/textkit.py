@@ -15,7 +15,7 @@ import numpy as np
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
-CHUNK_CHARS = 600_000
+CHUNK_CHARS = 200_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,7 +40,7 @@ _powers: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE^i and BASE^-i modulo 2^64 for i below n."""
     if not _powers or len(_powers[0]) < n:
-        inverse, size = pow(BASE, -1, 1 << 64), max(n, 1 << 20)
+        inverse, size = pow(BASE, -1, 1 << 64), max(n, 1 << 18)
         _powers[:] = []
         for b in (BASE, inverse):
             p = np.full(size, b, U)
