@@ -32,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once an application, so that Python workers can import it anywhere; bound their batches."""
     for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
-        now = spark.conf.get(f"spark.sql.execution.arrow.{name}", "0").rstrip("bB")
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("bB")
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     app = spark.sparkContext.applicationId
