@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ripplegraph.llm import chat_format, decontaminate, graph_ann, jaccard_join, language_id, packing, toxicity, url_filter, warc
+from ripplegraph.llm import chat_format, decontaminate, graph_ann, html_extract, jaccard_join, language_id, packing, toxicity, url_filter, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_packing": packing.op4_packing,
         "op5_jaccard_join": jaccard_join.op5_jaccard_join,
         "op6_warc": warc.op6_warc,
+        "op7_html_extract": html_extract.op7_html_extract,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_graph_ann": graph_ann.op9_graph_ann,
         "op10_url_filter": url_filter.op10_url_filter,
