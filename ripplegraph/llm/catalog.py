@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from ripplegraph.llm import chat_format, decontaminate, graph_ann, html_extract, jaccard_join, language_id, packing, toxicity, url_filter, warc
 
 
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_chat_format": chat_format.op1_chat_format,
         "op2_language_id": language_id.op2_language_id,
         "op3_toxicity": toxicity.op3_toxicity,

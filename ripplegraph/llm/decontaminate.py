@@ -195,19 +195,19 @@ def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of documents that hold no item, with all their columns."""
-    ship(documents.sparkSession)
-    kind = documents.schema
     for items in blocks(benchmark):
 
-        def kept(batches: Iterator[pa.RecordBatch], items: list = items) -> Iterator[pa.RecordBatch]:
+        def decider(items: list = items):
             index = Index(items)
-            for b in batches:
-                ok = np.ones(b.num_rows, bool)
-                for at, texts in textkit.chunks(b["text"].to_pylist()):
-                    ok[[at + d for d, *_ in index.scan(texts)]] = False
-                yield b.filter(pa.array(ok))
 
-        documents = documents.mapInArrow(kept, kind)
+            def decide(texts: list[str]) -> np.ndarray:
+                ok = np.ones(len(texts), bool)
+                ok[[d for d, *_ in index.scan(texts)]] = False
+                return ok
+
+            return decide
+
+        documents = textkit.keep_where(documents, decider)
     return documents
 
 

@@ -31,7 +31,7 @@ from ripplegraph.runtime import ship
 SLOTS = 4096
 SAMPLE_ROWS = 2000
 MAX_LANGUAGES = 500
-AMBIGUOUS = 0.7
+AMBIGUOUS, LEAST_SCORE = 0.7, 0.3
 OUT = "lang_pred string, score double, ambiguous boolean"
 
 
@@ -152,6 +152,19 @@ def predict(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     return documents.select(*dict.fromkeys([*keep, "text"])).mapInArrow(predicted, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kind), OUT]))
 
 
+def accept(documents: DataFrame, model: Model, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of documents whose text has a language (not `und`) with at least that score, with all their columns."""
+
+    def decider():
+        def decide(texts: list[str]) -> np.ndarray:
+            lang, score, _ = model.predict(texts)
+            return (np.array(lang, object) != "und") & (np.array(score) >= least)
+
+        return decide
+
+    return textkit.keep_where(documents, decider, most=256)
+
+
 def held_out(mod: int, rest: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % mod == rest, F.lit(False))
 

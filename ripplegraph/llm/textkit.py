@@ -8,10 +8,14 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from ripplegraph.runtime import ship
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
@@ -99,3 +103,17 @@ def chunks(texts: list[str | None], chars: int = CHUNK_CHARS, most: int = 4096)
             at, size = i + 1, 0
     if at < len(texts):
         yield at, [x or "" for x in texts[at:]]
+
+
+def keep_where(documents: DataFrame, decider: Callable[[], Callable[[list[str]], np.ndarray]], most: int = 4096) -> DataFrame:
+    """The rows of documents whose text is kept, with all their columns as they are. decider() is called once a task and gives
+    the function from texts (null: empty) to booleans."""
+    ship(documents.sparkSession)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decide = decider()
+        for b in batches:
+            for at, texts in chunks(b["text"].to_pylist(), most=most):
+                yield b.slice(at, len(texts)).filter(pa.array(decide(texts)))
+
+    return documents.mapInArrow(kept, documents.schema)
