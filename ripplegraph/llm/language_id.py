@@ -124,13 +124,18 @@ def _hash_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def train(labelled: DataFrame) -> Model:
     """labelled(doc_id, text, lang)."""
-    ship(labelled.sparkSession)
+    spark = labelled.sparkSession
+    ship(spark)
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    count = len(rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if count > MAX_LANGUAGES:
+    counts = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    nth = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = rows.select("lang", "doc_id").withColumn("nth", nth).where(F.col("nth") <= max(2, SAMPLE_ROWS // max(count, 1))).select("doc_id").distinct()
+    each = max(2, SAMPLE_ROWS // max(len(counts), 1))
+    # hashes below this share hold about three times the rows wanted, so that no language brings more to its one window task
+    share = spark.createDataFrame([(r["lang"], min(1.0, 3 * each / r["count"] + 1e-6)) for r in counts], "lang string, share double")
+    near = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)) < F.col("share")
+    nth = F.row_number().over(W.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id"))
+    ids = rows.select("lang", "doc_id").join(F.broadcast(share), "lang").where(near).withColumn("nth", nth).where(F.col("nth") <= each).select("doc_id").distinct()
     some = rows.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id", "left_semi")  # at most SAMPLE_ROWS numbers
     got = some.select("lang", "text").mapInArrow(_hash_features, "lang string, x binary").toArrow()
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(-1, SLOTS).astype(np.float32)
