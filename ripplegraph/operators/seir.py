@@ -6,13 +6,15 @@ States: 0 susceptible, 1 exposed, 2 infectious, 3 recovered. A day reads the sta
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ripplegraph.functions.keyed import unit, wrapping
-from ripplegraph.runtime import drop, materialize
+from ripplegraph.runtime import drop, forget, materialize, shared_dir
 
 SUSCEPTIBLE, EXPOSED, INFECTIOUS, RECOVERED = range(4)
 NAMES = ("susceptible", "exposed", "infectious", "recovered")
@@ -96,12 +98,62 @@ class Days:
         return (day, *(seen.get[name] for name in NAMES))
 
 
+def _course(rows: DataFrame, epidemic: Epidemic) -> DataFrame:
+    """rows(id, exposed_at, infectious_at, recovered_at) with the days that aren't known yet filled in. Each follows from the one before by
+    the person's own dice; null is beyond the last day. Build it within wrapping()."""
+    last = epidemic.days
+
+    def first(since: Column, chance: float) -> Column:
+        throws = F.filter(F.sequence(since, F.greatest(since, F.lit(last))), lambda d: (d < last) & (unit(epidemic.seed, "id", d, 0) < chance))
+        return (F.array_min(throws) + 1).cast("int")
+
+    rows = rows.withColumn("infectious_at", F.coalesce("infectious_at", F.when(F.col("recovered_at").isNull(), first(F.col("exposed_at"), epidemic.sigma))))
+    return rows.withColumn("recovered_at", F.coalesce("recovered_at", F.when(F.col("infectious_at").isNotNull(), first(F.col("infectious_at"), epidemic.gamma))))
+
+
+def courses(adj: DataFrame, state: DataFrame, epidemic: Epidemic) -> DataFrame:
+    """(id, exposed_at, infectious_at, recovered_at) of all who aren't susceptible by the last day, days counted from the given state (0).
+
+    Once exposed, a person's course is fixed by the person's own dice, so only exposures spread, and only people who are or were ill are
+    kept: a day's work is the contacts of the infectious, not the whole population. The exposed aren't infectious on the day they
+    are exposed, so who is infectious today and tomorrow is known today: each job advances two days.
+    """
+    spark, kind = state.sparkSession, "id long, exposed_at int, infectious_at int, recovered_at int"
+    at_once = lambda st: F.when(F.col("st") == st, 0).cast("int")
+    with wrapping(spark):
+        begun = _course(state.where(F.col("st") != SUSCEPTIBLE).select("id", at_once(EXPOSED).alias("exposed_at"), at_once(INFECTIOUS).alias("infectious_at"), at_once(RECOVERED).alias("recovered_at")), epidemic)
+    path = f"{shared_dir(spark)}/ripplegraph-tables/courses-{uuid.uuid4().hex}"
+    atexit.register(forget, spark, path)
+    begun.write.parquet(path)
+    for day in range(0, epidemic.days, 2):
+        ill = spark.read.schema(kind).parquet(path)
+        dates = F.filter(F.array(*(F.lit(d) for d in range(day, min(day + 2, epidemic.days)))), lambda d: (F.col("infectious_at") <= d) & F.coalesce(d < F.col("recovered_at"), F.lit(True)))
+        sick = ill.where((F.col("infectious_at") <= day + 1) & F.coalesce(F.col("recovered_at") > day, F.lit(True))).select(F.col("id").alias("src"), F.explode(dates).alias("day"))
+        met = adj.join(sick, "src").groupBy(F.col("dst").alias("id"), "day").agg(F.count("*").alias("k")).join(ill.select("id"), "id", "left_anti")
+        with wrapping(spark):
+            caught = F.exists(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda c: unit(epidemic.seed, "id", "day", c) < epidemic.beta)
+            new = met.where(caught).groupBy("id").agg((F.min("day") + 1).cast("int").alias("exposed_at"))
+            nothing = F.lit(None).cast("int")
+            _course(new.select("id", "exposed_at", nothing.alias("infectious_at"), nothing.alias("recovered_at")), epidemic).write.mode("append").parquet(path)
+    return spark.read.schema(kind).parquet(path)
+
+
 def simulate(adj: DataFrame, state: DataFrame, epidemic: Epidemic) -> DataFrame:
     """The epidemic's curve: (step, susceptible, exposed, infectious, recovered), days + 1 rows, row 0 the given state."""
-    spark = state.sparkSession
+    spark, n = state.sparkSession, state.count()
     adj = adj.repartition("src").persist()
-    days, rows = Days(state), [tuple(state_counts(state, 0).first())]
-    for day in range(epidemic.days):
-        rows.append(days.move(step(adj, days.now, epidemic, day), day + 1))
+    found = courses(adj, state, epidemic)
+    moves = F.array(*(F.struct(F.col(c).alias("day"), F.lit(c).alias("to")) for c in ("exposed_at", "infectious_at", "recovered_at")))
+    # someone who began infectious or recovered has no earlier dates: what one was before follows from those that are there
+    was = F.when(F.col("to") == "infectious_at", F.when(F.col("exposed_at").isNotNull(), EXPOSED).otherwise(SUSCEPTIBLE)).when(F.col("to") == "recovered_at", F.when(F.col("infectious_at").isNotNull(), INFECTIOUS).otherwise(SUSCEPTIBLE)).otherwise(SUSCEPTIBLE)
+    events = found.select("exposed_at", "infectious_at", "recovered_at", F.explode(moves).alias("m")).select("*", "m.*").where(F.col("day") <= epidemic.days)
+    counted = events.groupBy("day", "to", was.alias("was")).agg(F.count("*").alias("n")).collect()  # at most six rows a day
     adj.unpersist()
+    now, rows = [n, 0, 0, 0], []
+    for day in range(epidemic.days + 1):
+        for r in counted:
+            if r["day"] == day:
+                now[r["was"]] -= r["n"]
+                now[1 + ("exposed_at", "infectious_at", "recovered_at").index(r["to"])] += r["n"]
+        rows.append((day, *now))
     return spark.createDataFrame(rows, "step long, susceptible long, exposed long, infectious long, recovered long")

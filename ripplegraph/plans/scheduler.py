@@ -14,7 +14,7 @@ from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ripplegraph.operators import centrality, clusters, tracing
 from ripplegraph.operators.seir import Epidemic, step
@@ -42,8 +42,9 @@ class Job:
 class Queue:
     """Runs jobs on `workers` driver threads. A job waits until its prerequisite is completed."""
 
-    def __init__(self, workers: int = 3, timeout: float = 600.0, most_attempts: int = 4, ahead: int = 3):
+    def __init__(self, spark: SparkSession, workers: int = 3, timeout: float = 600.0, most_attempts: int = 4, ahead: int = 3):
         self.pool, self.workers, self.timeout, self.most_attempts, self.ahead = ThreadPoolExecutor(workers * most_attempts), workers, timeout, most_attempts, ahead
+        self.inherit = inheritable_thread_target(spark)
         self.jobs: dict[int, Job] = {}
         self.queue: deque[Job] = deque()
         self.flying: dict[Future, Job] = {}
@@ -69,7 +70,7 @@ class Queue:
             if job.attempts > self.most_attempts:
                 raise RuntimeError(f"job {job.task_id} failed {self.most_attempts} times")
             job.status, job.start, job.deadline = IN_FLIGHT, time.monotonic() - self.began, time.monotonic() + self.timeout
-            self.flying[self.pool.submit(inheritable_thread_target(job.run))] = job
+            self.flying[self.pool.submit(self.inherit(job.run))] = job
         done, _ = wait(self.flying, seconds, FIRST_COMPLETED) if self.flying else ((), ())
         for f in done:
             job = self.flying.pop(f)
@@ -99,7 +100,7 @@ def run_pipeline(people: DataFrame, adj: DataFrame, state: DataFrame, epidemic:
     k = n // 100 if vaccines is None else vaccines
     adj = adj.repartition("src").persist()
     scores = centrality.pagerank(people, adj, rounds)
-    queue, number, targets = Queue(workers, timeout), 0, {}
+    queue, number, targets = Queue(spark, workers, timeout), 0, {}
     due: tuple[int, int] | None = None
 
     def job(task: str, day: int, run: Callable[[], tuple[int, int]]) -> None:

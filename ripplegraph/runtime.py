@@ -61,7 +61,7 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd", partition_by: lis
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    atexit.register(_quietly_remove, spark, path)
+    atexit.register(forget, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._ripplegraph_path = path
     return out
@@ -74,7 +74,8 @@ def drop(df: DataFrame) -> None:
         remove(df.sparkSession, path)
 
 
-def _quietly_remove(spark: SparkSession, path: str) -> None:
+def forget(spark: SparkSession, path: str) -> None:
+    """Remove a table if the session still runs; for the end of the driver."""
     with contextlib.suppress(Exception):
         if spark.sparkContext._jsc is not None:
             remove(spark, path)
