@@ -6,7 +6,8 @@
    that finds a pair at the threshold with probability RECALL: two sets that share at least 0.8 of the larger one miss each
    other in a run with probability f(f(f(0))), f(s) = exp(0.8 T (s - 1)).
 3. Sets that share a path are compared by sketch (the least hash in each of 256 parts of hash space) if the bucket is small.
-   Larger buckets are split on further sampled shingles: 32 times eight of the sketch's. Where even such a bucket is large
+   Larger buckets are split on further sampled shingles, SPLITS times SPLIT_SIZE of the sketch's (a pair at the threshold is
+   missed by all with probability (1 - 0.8^6)^32, less than 0.0001). Where even such a bucket is large
    its sets are near copies or share a passage: all are compared to a few pivots. A set within 0.15 of a pivot is done
    (whoever is within 0.2 of it is within 0.35 of the pivot, and is tied to it), the others are compared in pairs of blocks.
 4. These comparisons only tie together groups of candidates; the groups are components of the ties, never all pairs.
@@ -41,7 +42,7 @@ SIMILARITY = 0.8
 RECALL = 0.999
 T, DEPTH = 1.6, 3
 BINS = 256
-SPLITS = 32
+SPLITS, SPLIT_SIZE = 32, 6
 BUCKET = 512
 PIVOTS = 4
 NEAR, TIED, TIGHT = 0.68, 0.55, 0.85
@@ -191,19 +192,28 @@ def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
 
+def sampled(sk: np.ndarray) -> np.ndarray:
+    """SPLITS x SPLIT_SIZE sampled elements of each sketch: the first full part in each of as many fixed orders of the parts, with its
+    byte. Two sketches agree on each with the probability that they agree on a part that either has."""
+    full, rows = sk > 0, np.arange(len(sk))
+    out = np.zeros((len(sk), SPLITS * SPLIT_SIZE), U)
+    orders = np.random.default_rng(97)
+    for j in range(out.shape[1]):
+        order = orders.permutation(BINS)
+        part = order[full[:, order].argmax(1)]
+        out[:, j] = (part.astype(U) << U(8)) | sk[rows, part].astype(U)
+    return out
+
+
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cid, sketch) to SPLITS rows (key, cid): each key hashes eight sampled shingles; empty parts borrow from the next full one."""
+    """(cid, sketch) to SPLITS rows (key, cid): each key hashes SPLIT_SIZE sampled shingles."""
     for b in batches:
         if not b.num_rows:
             continue
-        sk = _sketches(b["sketch"])
-        at = np.where(np.tile(sk > 0, 2), np.arange(2 * BINS), 4 * BINS)
-        at = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :BINS] % BINS
-        filled = np.take_along_axis(sk, at, 1).astype(U) + (at != np.arange(BINS)) * (at.astype(U) << U(8))
-        key = np.zeros((len(sk), SPLITS), U)
-        for j in range(BINS // SPLITS):
-            key = textkit.mix(key + filled[:, j * SPLITS : (j + 1) * SPLITS] + U(1))
-        key = textkit.mix(key + np.arange(SPLITS).astype(U))
+        chosen = sampled(_sketches(b["sketch"])).reshape(-1, SPLITS, SPLIT_SIZE)
+        key = np.broadcast_to(np.arange(SPLITS).astype(U), chosen.shape[:2])
+        for j in range(SPLIT_SIZE):
+            key = textkit.mix(key + chosen[:, :, j] + U(1))
         yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(b["cid"].to_numpy(), SPLITS))], ["key", "cid"])
 
 
