@@ -103,9 +103,9 @@ s AS (
       + len(regexp_extract_all(role, '\[/?INST\]|</?s>')) + len(regexp_extract_all(text, '\[/?INST\]|</?s>')) AS added
   FROM t)
 SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   sum(plain + CASE WHEN odd THEN added ELSE 0 END)::BIGINT AS formatted_chars
 FROM s GROUP BY conv_id
 """
