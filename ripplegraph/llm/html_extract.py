@@ -132,6 +132,8 @@ def read_page(source: str) -> Page:
                     if stack[i][0] in ends.split():
                         close(i)
                         break
+            if tag in ("td", "th"):
+                text(" ")
             _, path, main, aside, link = stack[-1]
             token, starts, off = _element(path, tag, m[3], main)
             structural = tag in BLOCK or tag in ("a", "td", "th", "button", "label", "span")
