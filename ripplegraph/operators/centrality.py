@@ -17,7 +17,7 @@ def pagerank(people: DataFrame, adj: DataFrame, rounds: int = 20) -> DataFrame:
     """people(id) to (id, score): a fixed number of rounds from 1/n; a person without contacts ends at 0.15/n, and its share isn't
     dealt to others. Parallel edges weigh as often as they are listed: they are counted once, before the rounds."""
     n = people.count()
-    weights = adj.groupBy("src", "dst").agg(F.count("*").alias("slots")).repartition("src").persist()
+    weights = adj.groupBy("src", "dst").agg(F.count("*").alias("slots")).repartition("src").sortWithinPartitions("src").persist()  # no round shuffles or sorts it again
     scores = materialize(degree(people, adj).select("id", "degree", F.lit(1.0 / max(n, 1)).alias("score")), "pagerank")
     for _ in range(rounds):
         given = scores.where("degree > 0").select(F.col("id").alias("src"), (F.col("score") / F.col("degree")).alias("share"))

@@ -26,7 +26,7 @@ def respond(people: DataFrame, adj: DataFrame, state: DataFrame, epidemic: Epide
     PageRank doesn't depend on the state and is computed once."""
     spark, n = state.sparkSession, people.count()
     vaccines = n // 100 if response.vaccines is None else response.vaccines
-    adj = adj.repartition("src").persist()
+    adj = adj.repartition("src").sortWithinPartitions("src").persist()
     scores = centrality.pagerank(people, adj, response.rounds) if epidemic.days else None
     days, rows = Days(state), []
     for day in range(epidemic.days):

@@ -141,7 +141,7 @@ def courses(adj: DataFrame, state: DataFrame, epidemic: Epidemic) -> DataFrame:
 def simulate(adj: DataFrame, state: DataFrame, epidemic: Epidemic) -> DataFrame:
     """The epidemic's curve: (step, susceptible, exposed, infectious, recovered), days + 1 rows, row 0 the given state."""
     spark, n = state.sparkSession, state.count()
-    adj = adj.repartition("src").persist()
+    adj = adj.repartition("src").sortWithinPartitions("src").persist()
     found = courses(adj, state, epidemic)
     moves = F.array(*(F.struct(F.col(c).alias("day"), F.lit(c).alias("to")) for c in ("exposed_at", "infectious_at", "recovered_at")))
     # someone who began infectious or recovered has no earlier dates: what one was before follows from those that are there

@@ -98,7 +98,7 @@ def run_pipeline(people: DataFrame, adj: DataFrame, state: DataFrame, epidemic:
     largest. `fault` is called before each run of a job, so that tests can stall or break it."""
     spark, n = state.sparkSession, people.count()
     k = n // 100 if vaccines is None else vaccines
-    adj = adj.repartition("src").persist()
+    adj = adj.repartition("src").sortWithinPartitions("src").persist()
     scores = centrality.pagerank(people, adj, rounds)
     queue, number, targets = Queue(spark, workers, timeout), 0, {}
     due: tuple[int, int] | None = None
