@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ripplegraph.functions.running import running_sum
+
 
 def contacts(orders: DataFrame) -> DataFrame:
     """edges(a, b): customers whose orders follow each other on the same day; a customer is no contact of its own."""
@@ -40,10 +42,9 @@ def degree_summary(degrees: DataFrame) -> DataFrame:
     """One row: mean, upper median, 99th percentile by rank, maximum, the share of all slots that nodes from that rank on hold,
     and maximum over median (0 where the median is 0). Ranks come from running sums over the histogram, not over the people."""
     bins = degree_histogram(degrees)
-    up = W.orderBy("degree").rowsBetween(W.unboundedPreceding, 0)  # as many rows as different degrees
-    bins = bins.select("degree", "people", F.sum("people").over(up).alias("upto"), F.sum(F.col("people") * F.col("degree")).over(up).alias("slots"))
-    whole = W.partitionBy()
-    bins = bins.select("*", F.sum("people").over(whole).alias("n"), F.sum(F.col("people") * F.col("degree")).over(whole).alias("all_slots"))
+    bins = running_sum(bins, "people", ["degree"])
+    whole = bins.agg(F.sum("people").alias("n"), F.sum(F.col("people") * F.col("degree")).alias("all_slots"))
+    bins = bins.crossJoin(F.broadcast(whole))  # one row
     cut = F.floor(F.col("n") * 0.99)
     at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("degree")))
     above = F.when(F.col("upto") > cut, F.least(F.col("people"), F.col("upto") - cut) * F.col("degree")).otherwise(0)
@@ -87,13 +88,7 @@ def halo_summary(adj: DataFrame, parts: int, people: int) -> DataFrame:
     return total.select("ghosts", F.round(100.0 * F.col("ghosts") / max(people, 1), 6).alias("percent"), F.expr("ghosts * 4 div 1024").alias("kb_per_day"))
 
 
-def offsets(people: DataFrame, adj: DataFrame, parts: int = 64) -> DataFrame:
-    """(id, start, stop): each node's slots in a list ordered by node. Prefix sums within id ranges, then over the ranges' totals."""
-    degrees = degree(people, adj)
-    span = degrees.agg(F.min("id").alias("low"), F.greatest(F.lit(1), F.ceil((F.max("id") - F.min("id") + 1) / parts)).alias("width"))
-    ranged = degrees.crossJoin(F.broadcast(span)).withColumn("part", F.floor((F.col("id") - F.col("low")) / F.col("width")))  # one row
-    total = ranged.groupBy("part").agg(F.sum("degree").alias("slots"))
-    before = total.select("part", F.coalesce(F.sum("slots").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # `parts` rows
-    within = F.sum("degree").over(W.partitionBy("part").orderBy("id").rowsBetween(W.unboundedPreceding, 0))
-    done = ranged.withColumn("within", within).join(F.broadcast(before), "part")
-    return done.select("id", (F.col("before") + F.col("within") - F.col("degree")).alias("start"), (F.col("before") + F.col("within")).alias("stop"))
+def offsets(people: DataFrame, adj: DataFrame) -> DataFrame:
+    """(id, start, stop): each node's slots in a list ordered by node."""
+    done = running_sum(degree(people, adj), "degree", ["id"], "stop")
+    return done.select("id", (F.col("stop") - F.col("degree")).alias("start"), "stop")

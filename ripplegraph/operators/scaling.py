@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ripplegraph.functions.keyed import unit, wrapping
+from ripplegraph.functions.running import running_sum
 
 CONFIG = ("label", "processes", "threads", "people", "network")
 
@@ -85,8 +86,8 @@ def pair_wins(x: DataFrame, y: DataFrame) -> DataFrame:
     """x(seconds), y(seconds): over all pairs, how often x is faster, ties half. Counted by one sorted pass over both, not by pairs."""
     both = x.select("seconds", F.lit(1).alias("mine")).unionAll(y.select("seconds", F.lit(0).alias("mine")))
     bins = both.groupBy("seconds").agg(F.sum("mine").alias("xs"), F.sum(1 - F.col("mine")).alias("ys"))
-    later = F.coalesce(F.sum("ys").over(W.orderBy(F.desc("seconds")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # as many rows as different times
-    scored = bins.select(((later + 0.5 * F.col("ys")) * F.col("xs")).alias("won"), "xs", "ys")
+    bins = running_sum(bins, "ys", ["seconds"], "later", descending=True)
+    scored = bins.select(((F.col("later") - 0.5 * F.col("ys")) * F.col("xs")).alias("won"), "xs", "ys")
     return scored.agg(F.coalesce(F.sum("won"), F.lit(0.0)).alias("wins"), (F.coalesce(F.sum("xs"), F.lit(0)) * F.coalesce(F.sum("ys"), F.lit(0))).alias("pairs"))
 
 
@@ -144,5 +145,5 @@ def timeline_overlap(timeline: DataFrame) -> DataFrame:
     live = moves.withColumn("now", F.sum("step").over(mine))
     was = F.coalesce(F.lag("now").over(W.partitionBy("task").orderBy("at", "change")), F.lit(0))
     turns = live.withColumn("turn", (F.col("now") > 0).cast("int") - (was > 0).cast("int")).where("turn <> 0")
-    count = F.sum("turn").over(W.orderBy("at", "change", "task").rowsBetween(W.unboundedPreceding, 0))  # only where a kind of task begins or ends
-    return turns.withColumn("active", count).agg(F.coalesce(F.max("active"), F.lit(0)).cast("long").alias("most"), F.min_by("at", F.struct(-F.col("active"), "at")).alias("first_at"))
+    turns = running_sum(turns.select("at", "change", "task", "turn"), "turn", ["at", "change", "task"], "active")
+    return turns.agg(F.coalesce(F.max("active"), F.lit(0)).cast("long").alias("most"), F.min_by("at", F.struct(-F.col("active"), "at")).alias("first_at"))

@@ -34,7 +34,7 @@ def test_blocks_and_borders(spark):
 
 def test_offsets(spark):
     adj = graph.adjacency(edges(spark, [(0, 1), (1, 2), (2, 3)]))
-    assert sorted(map(tuple, graph.offsets(people(spark, 5), adj, 2).collect())) == [(0, 0, 1), (1, 1, 3), (2, 3, 5), (3, 5, 6), (4, 6, 6)]
+    assert sorted(map(tuple, graph.offsets(people(spark, 5), adj).collect())) == [(0, 0, 1), (1, 1, 3), (2, 3, 5), (3, 5, 6), (4, 6, 6)]
 
 
 def test_empty(spark):
