@@ -25,6 +25,7 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op1_chat_format": chat_format.ORACLE,
+        "op5_jaccard_join": jaccard_join.ORACLE,
         "op6_warc": warc.ORACLE,
         "op10_url_filter": url_filter.ORACLE,
     }

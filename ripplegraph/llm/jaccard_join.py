@@ -356,3 +356,19 @@ def keep_one(documents: DataFrame) -> DataFrame:
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: By comparing all documents that share a shingle; doc_id is taken as unique.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS same FROM s a JOIN s b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT x, y FROM p JOIN n u ON u.doc_id = x JOIN n v ON v.doc_id = y WHERE same >= 0.8::DOUBLE * (u.n + v.n - same) - 1e-9::DOUBLE),
+e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+walk AS (SELECT x AS id, x AS seen FROM e UNION SELECT walk.id, e.y FROM walk JOIN e ON e.x = walk.seen),
+c AS (SELECT id, min(seen) AS class_id FROM walk GROUP BY id),
+k AS (SELECT x AS id, count(*) AS n_links FROM e GROUP BY x)
+SELECT d.doc_id, CASE WHEN d.doc_id IS NULL THEN NULL ELSE coalesce(c.class_id, d.doc_id) END AS class_id, coalesce(k.n_links, 0) AS n_links
+FROM documents d LEFT JOIN c ON c.id = d.doc_id LEFT JOIN k ON k.id = d.doc_id
+"""
