@@ -6,27 +6,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ripplegraph.operators.graph import degree
 from ripplegraph.operators.seir import RECOVERED, SUSCEPTIBLE
 from ripplegraph.runtime import drop, materialize
 
 DAMPING = 0.85
+CUT = 5  # rounds in one plan
 
 
 def pagerank(people: DataFrame, adj: DataFrame, rounds: int = 20) -> DataFrame:
     """people(id) to (id, score): a fixed number of rounds from 1/n; a person without contacts ends at 0.15/n, and its share isn't
-    dealt to others. Parallel edges weigh as often as they are listed: they are counted once, before the rounds."""
+    dealt to others. Parallel edges weigh as often as they are listed.
+
+    What one gives another in a round is a fixed share of one's score, so shares are worked out once. Each person also gives
+    itself nothing, so that everyone turns up among the receivers: a round is then one join and one sum, both by person, with one
+    shuffle, and reads the scores once, so that several rounds are one plan.
+    """
     n = people.count()
-    weights = adj.groupBy("src", "dst").agg(F.count("*").alias("slots")).repartition("src").sortWithinPartitions("src").persist()  # no round shuffles or sorts it again
-    scores = materialize(degree(people, adj).select("id", "degree", F.lit(1.0 / max(n, 1)).alias("score")), "pagerank")
-    for _ in range(rounds):
-        given = scores.where("degree > 0").select(F.col("id").alias("src"), (F.col("score") / F.col("degree")).alias("share"))
-        got = weights.join(given, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("slots")).alias("got"))
-        after = scores.join(got, "id", "left").select("id", "degree", (F.lit((1 - DAMPING) / max(n, 1)) + DAMPING * F.coalesce("got", F.lit(0.0))).alias("score"))
-        last, scores = scores, materialize(after, "pagerank")  # a round's plan reads the scores twice: uncut, it would double each round
-        drop(last)
-    weights.unpersist()
-    return scores.select("id", "score")
+    slots = adj.groupBy("src", "dst").agg(F.count("*").alias("slots"))
+    degrees = adj.groupBy("src").agg(F.count("*").alias("degree"))
+    shares = slots.join(degrees, "src").select("src", "dst", (F.col("slots") / F.col("degree")).alias("share"))
+    shares = shares.unionAll(people.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("share")))
+    shares = shares.repartition("src").sortWithinPartitions("src").persist()
+    scores = people.select(F.col("id").alias("src"), F.lit(1.0 / max(n, 1)).alias("score"))
+    last = None
+    for i in range(1, rounds + 1):
+        given = shares.join(scores, "src")
+        scores = given.groupBy(F.col("dst").alias("src")).agg((F.lit((1 - DAMPING) / max(n, 1)) + DAMPING * F.sum(F.col("score") * F.col("share"))).alias("score"))
+        if i % CUT == 0 or i == rounds:
+            scores = materialize(scores, "pagerank")
+            if last is not None:
+                drop(last)
+            last = scores
+    shares.unpersist()
+    return scores.select(F.col("src").alias("id"), "score")
 
 
 def top_targets(scores: DataFrame, state: DataFrame, n: int, k: int) -> DataFrame:
