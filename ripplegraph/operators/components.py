@@ -43,4 +43,6 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     labels = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("id")).distinct().withColumn("component", F.col("id"))
     found = labels.unionAll(roots)
-    return found.unionAll(loops.join(found.select("id"), "id", "left_anti").withColumn("component", F.col("id")))
+    out = found.unionAll(loops.join(found.select("id"), "id", "left_anti").withColumn("component", F.col("id")))
+    out._ripplegraph_path = now._ripplegraph_path  # drop(result), once it has been used, removes its table
+    return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import os
 import tempfile
 import uuid
@@ -74,6 +75,12 @@ def drop(df: DataFrame) -> None:
         remove(df.sparkSession, path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nothing refers to any more; it notices only when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Remove a table if the session still runs; for the end of the driver."""
     with contextlib.suppress(Exception):
