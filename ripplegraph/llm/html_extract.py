@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplegraph.llm.url_filter import host_and_path
-from ripplegraph.runtime import materialize, ship
+from ripplegraph.runtime import drop, materialize, ship
 
 MIN_PAGES, MIN_SHARE = 4, 0.6
 MASK = (1 << 64) - 1
@@ -218,7 +218,9 @@ def templates(pages: DataFrame) -> DataFrame:
     classes = common.groupBy("host", "pages", "xored", "summed").agg(F.sort_array(F.collect_list("token")).alias("tokens"), F.max("element").alias("element"))
     classes = classes.where((F.size("tokens") > 1) & F.col("element"))
     ranked = F.sort_array(F.collect_list(F.struct(-F.col("pages"), "tokens")))
-    return materialize(classes.groupBy("host").agg(F.transform(ranked, lambda x: x["tokens"]).alias("classes")), "templates")
+    out = materialize(classes.groupBy("host").agg(F.transform(ranked, lambda x: x["tokens"]).alias("classes")), "templates")
+    drop(tokens)
+    return out
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ripplegraph.llm import textkit
 from ripplegraph.operators.components import connected_components
-from ripplegraph.runtime import drop, materialize, ship
+from ripplegraph.runtime import drop, materialize, ship, sweep
 
 SIMILARITY = 0.8
 RECALL = 0.999
@@ -236,10 +236,11 @@ def _pivoted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _bucketed(rows: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _bucketed(rows: DataFrame, classes: DataFrame, made: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     """rows(key, cid) of keys that two or more share, split into small buckets' ties and the rows of large buckets."""
     sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = materialize(rows.join(sizes, "key"), "shared-buckets")
+    made.append(shared)
     small = shared.where(F.col("size") <= BUCKET).join(classes.select("cid", "sketch"), "cid").select("key", "cid", "sketch")
     return _compare(small), shared.where(F.col("size") > BUCKET).select("key", "cid")
 
@@ -248,11 +249,12 @@ def _compare(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_tied, "a long, b long")
 
 
-def candidate_ties(classes: DataFrame) -> DataFrame:
-    """classes(cid, sketch, paths) to ties (a, b)."""
-    ties, large = _bucketed(classes.select(F.explode("paths").alias("key"), "cid"), classes)
+def candidate_ties(classes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """classes(cid, sketch, paths) to ties (a, b), and the stored tables that they read."""
+    made: list[DataFrame] = []
+    ties, large = _bucketed(classes.select(F.explode("paths").alias("key"), "cid"), classes, made)
     hot = materialize(large.select("cid").distinct().join(classes.select("cid", "sketch"), "cid"), "hot-sets")
-    more, dense = _bucketed(hot.mapInArrow(_split, "key long, cid long"), hot)
+    more, dense = _bucketed(hot.mapInArrow(_split, "key long, cid long"), hot, made)
     dense = materialize(dense.join(hot, "cid").select("key", "cid", "sketch"), "dense-buckets")
     nth = F.row_number().over(W.partitionBy("key").orderBy(F.xxhash64("cid", "key"), "cid"))  # limited before the shuffle, too
     pivots = dense.withColumn("nth", nth).where(F.col("nth") <= PIVOTS).groupBy("key").agg(F.collect_list(F.struct("cid", "sketch")).alias("pivots"))
@@ -262,7 +264,8 @@ def candidate_ties(classes: DataFrame) -> DataFrame:
     rest = rest.join(blocks, "key").withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "cid").join(hot, "cid")
-    return ties.unionAll(more).unionAll(seen.where("b IS NOT NULL").select("a", "b")).unionAll(_compare(rest.select("key", "cid", "sketch"))).distinct()
+    made += [hot, dense, seen]
+    return ties.unionAll(more).unionAll(seen.where("b IS NOT NULL").select("a", "b")).unionAll(_compare(rest.select("key", "cid", "sketch"))).distinct(), made
 
 
 def links(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
@@ -326,7 +329,13 @@ def join(documents: DataFrame) -> DataFrame:
     features = materialize(documents.mapInArrow(_featured(runs), "doc_id long, cid long, n long, sketch binary, paths array<long>"), "shingle-features")
     real = features.where("doc_id IS NOT NULL AND n > 0")
     classes = materialize(real.groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")), "shingle-classes")
-    groups = materialize(connected_components(candidate_ties(classes)).select(F.col("id").alias("cid"), F.col("component").alias("grp")), "candidate-groups")
+    ties, made = candidate_ties(classes)
+    parts = connected_components(ties)
+    groups = materialize(parts.select(F.col("id").alias("cid"), F.col("component").alias("grp")), "candidate-groups")
+    for table in (*made, parts):
+        drop(table)
+    del ties, made, parts
+    sweep(documents.sparkSession)
     wanted = groups.join(classes.select("cid", "doc_id", "copies", "n"), "cid")
     blocks = wanted.groupBy("grp").agg(F.ceil(F.sum("n") / GROUP).cast("int").alias("blocks"))
     wanted = wanted.join(blocks, "grp").select("doc_id", "cid", "grp", "copies", "blocks")
@@ -336,13 +345,15 @@ def join(documents: DataFrame) -> DataFrame:
     sets = sets.select(F.xxhash64("grp", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "cid", "copies", F.when(inside, -1).otherwise(F.col("mine")).alias("side"), "shingles")
     found = materialize(sets.repartition("key").sortWithinPartitions("key").mapInArrow(_verified, "a long, b long, links long"), "verified-links")
     number = found.where("b IS NULL").groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("links"))
-    tied = connected_components(found.where("b IS NOT NULL").select("a", "b")).select(F.col("id").alias("cid"), "component")
+    parts = connected_components(found.where("b IS NOT NULL").select("a", "b"))
+    tied = parts.select(F.col("id").alias("cid"), "component")
     least = tied.join(classes.select("cid", "doc_id"), "cid").groupBy("component").agg(F.min("doc_id").alias("class_id"))
     tied = tied.join(least, "component").join(number, "cid", "left").select("cid", "class_id", "links")
     told = classes.select("cid", "doc_id", "copies").join(tied, "cid", "left")
     told = told.select("cid", F.coalesce("class_id", "doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     told = materialize(told.where("n_links > 0"), "linked-classes")
-    drop(classes)
+    for table in (classes, groups, found, parts):
+        drop(table)
     out = features.select("doc_id", "cid").join(told.withColumnRenamed("cid", "c"), (F.col("cid") == F.col("c")) & F.col("doc_id").isNotNull(), "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
