@@ -359,9 +359,10 @@ def join(documents: DataFrame) -> DataFrame:
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """One document of each class of the join, that with the least doc_id, with all its columns; rows with a null doc_id stay."""
+    """One document of each class of the join, that with the least doc_id, with all its columns. Rows with a null doc_id stay; of rows that
+    repeat doc_id and text one stays, rows with the same doc_id and another text are documents of their own."""
     kept = join(documents).where("doc_id = class_id").select("doc_id").distinct()
-    named = documents.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = documents.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return named.unionByName(documents.where("doc_id IS NULL")).select(*documents.columns)
 
 

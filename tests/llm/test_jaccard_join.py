@@ -97,11 +97,12 @@ def test_paths_do_not_depend_on_the_batch():
 
 def test_keep_one(spark):
     base = " ".join(words(random.Random(8), 50))
-    data = [(5, base), (2, base), (9, base + " tail"), (4, "quite another text of some words"), (4, "quite another text of some words"), (None, base), (7, None)]
+    other = "quite another text of some words"
+    data = [(5, base), (2, base), (9, base + " tail"), (4, other), (4, other), (4, "the same number but not the same words"), (None, base), (7, None)]
     docs = frame(spark, data)
     kept = J.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [2, 4, 7, None]
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [2, 4, 4, 7, None]
 
 
 def test_empty(spark):
