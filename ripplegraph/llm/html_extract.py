@@ -1,8 +1,8 @@
 """Main text of web pages by equivalence classes of template tokens.
 
 A page is read as a sequence of tokens: element starts (tag, class and id under the path of open elements) and, outside an
-article or main element, text runs under their path. Over the pages of one host every token has an occurrence vector: how often
-each page holds it. Tokens with equal vectors form an equivalence class; a class is part of the host's template if its tokens
+article or main element, text runs under their path. Over the different pages of one host (copies, pages of one token sequence,
+count once under any number of urls) every token has an occurrence vector: how often each page holds it. Tokens with equal vectors form an equivalence class; a class is part of the host's template if its tokens
 stand once on each of at least MIN_SHARE of the host's pages (MIN_PAGES at least) and there are two or more of them, one an
 element. On a page the classes are laid over the token sequence, largest support first, and a class counts if all its tokens
 are there and lie within one gap of every class already laid (or these within one of its gaps): the nested classes are the
@@ -10,13 +10,14 @@ template, what lies in its gaps are the slots. Template text is dropped; a slot
 it say otherwise (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers). Where
 the page has an article or main element only slots within it count; elsewhere blocks that are mostly links are dropped, too.
 
-Occurrence vectors are never gathered: a vector is represented by two commutative 64-bit hashes over (page, count), summed
-map-side per host and token, so a host that holds a third of all pages costs a counter per token. A host's template is
+Occurrence vectors are never gathered: copies are taken out by a digest of their tokens, map-side first; then a vector is represented
+by two commutative 64-bit hashes over its pages, summed map-side per host and token, so a host that holds a third of all pages costs
+a counter per token. A host's template is
 bounded by the number of tokens that can stand on most of its pages. Pages are joined to their host's template; Spark
 broadcasts the templates below its size limit and splits the hot host's pages above it.
 
 Defined cases: null and empty html give empty text; a null url or one without a host belongs to the host ''; pages of a host
-with fewer than MIN_PAGES pages have no template and are judged by their elements; repeated rows count once each; unclosed
+with fewer than MIN_PAGES different pages have no template and are judged by their elements; repeated rows each give a row; unclosed
 and wrongly nested elements are closed as HTML implies; character references are decoded once; other columns are ignored;
 an empty table gives an empty result.
 """
@@ -188,29 +189,49 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages to (host, d1, d2, once, more): a digest of the token sequence, the tokens that the page holds once, and those it holds
+    more often."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    for b in batches:
+        rows = {}
+        for url, source in zip(b["url"].to_pylist(), b["html"].to_pylist(), strict=True):
+            tokens = [t for t, _ in read_page(source or "").tokens]
+            digest = xxhash.xxh3_128_intdigest(b"".join(t.to_bytes(8, "little") for t in tokens))
+            key = _signed(_host(url)), _signed(digest >> 64), _signed(digest & MASK)
+            if key not in rows:
+                n = Counter(tokens)
+                rows[key] = [_signed(t) for t in n if n[t] == 1], [_signed(t) for t in n if n[t] > 1]
+        if rows:
+            columns = zip(*((*key, *held) for key, held in rows.items()), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["host", "d1", "d2", "once", "more"])
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages to (host, token, pages, total, xored, summed), summed up within each batch; token 0 stands for the page itself."""
+    """Different pages to (host, token, pages, total, xored, summed), summed up within each batch; token 0 stands for the page itself."""
     names, kinds = ["host", "token", "element", "pages", "total", "xored", "summed"], [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
     for b in batches:
         held: dict[tuple[int, int], list] = {}
-        for url, source in zip(b["url"].to_pylist(), b["html"].to_pylist(), strict=True):
-            host, mark = _host(url), xxhash.xxh64_intdigest(f"{url}\0".encode("utf-8", "surrogatepass") + (source or "").encode("utf-8", "surrogatepass"))
-            for (token, element), n in [((0, False), 1), *Counter(read_page(source or "").tokens).items()]:
-                h = xxhash.xxh64_intdigest(n.to_bytes(8, "little"), mark)
-                row = held.setdefault((host, token), [element, 0, 0, 0, 0])
-                row[1] += 1
-                row[2] += n
-                row[3] ^= h
-                row[4] += h & 0xFFFFFFFF
+        for host, d1, d2, once, more in zip(*(b[c].to_pylist() for c in ("host", "d1", "d2", "once", "more")), strict=True):
+            h = xxhash.xxh64_intdigest((d1 & MASK).to_bytes(8, "little") + (d2 & MASK).to_bytes(8, "little"))
+            for n, tokens in ((1, [0, *once]), (2, more)):
+                for token in tokens:
+                    row = held.setdefault((host, token), [bool(token & 1), 0, 0, 0, 0])
+                    row[1] += 1
+                    row[2] += n
+                    row[3] ^= h
+                    row[4] += h & 0xFFFFFFFF
         if held:
-            rows = [(_signed(host), _signed(token), e, p, t, _signed(x), s) for (host, token), (e, p, t, x, s) in held.items()]
+            rows = [(host, token, e, p, t, _signed(x), s) for (host, token), (e, p, t, x, s) in held.items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """pages(url, html) to (host, classes): for each host with a template its classes of tokens, largest support first."""
     ship(pages.sparkSession)
-    parts = pages.select("url", "html").mapInArrow(_counted, "host long, token long, element boolean, pages long, total long, xored long, summed long")
+    read = pages.select("url", "html").mapInArrow(_tokens, "host long, d1 long, d2 long, once array<long>, more array<long>")
+    different = read.groupBy("host", "d1", "d2").agg(F.first("once").alias("once"), F.first("more").alias("more"))
+    parts = different.mapInArrow(_counted, "host long, token long, element boolean, pages long, total long, xored long, summed long")
     tokens = parts.groupBy("host", "token").agg(F.first("element").alias("element"), F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.bit_xor("xored").alias("xored"), F.sum("summed").alias("summed"))
     tokens = materialize(tokens.where((F.col("pages") >= MIN_PAGES) & (F.col("pages") == F.col("total"))), "template-tokens")
     hosts = tokens.where("token = 0").select("host", F.col("pages").alias("all_pages"))

@@ -80,3 +80,11 @@ def test_nulls_repeats_and_empty(spark):
 def test_copies_of_articles_are_no_template(spark):
     data = [(i, f"http://c.org/{i}", "<nav>menu</nav><article><h1>Licence</h1><p>The same words on every page.</p></article>") for i in range(20)]
     assert {r["text"] for r in H.extract(frame(spark, data)).collect()} == {"Licence\nThe same words on every page."}
+
+
+def test_copies_without_article_count_once(spark):
+    copy = "<html><body><div><h1>Licence</h1><p>The same words on every page.</p><p>And some more.</p></div></body></html>"
+    data = [(i, f"http://c.org/{i}", copy) for i in range(20)] + [(20 + i, f"http://c.org/{20 + i}", f"<html><body><div><p>other {i}</p></div></body></html>") for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in H.extract(frame(spark, data)).collect()}
+    assert {got[i] for i in range(20)} == {"Licence\nThe same words on every page.\nAnd some more."}
+    assert [got[20 + i] for i in range(3)] == [f"other {i}" for i in range(3)]
