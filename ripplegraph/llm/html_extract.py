@@ -9,6 +9,9 @@ are there and lie within one gap of every class already laid (or these within on
 template, what lies in its gaps are the slots. Template text is dropped; a slot is the article's unless the elements around
 it say otherwise (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers). Where
 the page has an article or main element only slots within it count; elsewhere blocks that are mostly links are dropped, too.
+Names of class and id never set html, body, main or an article with a name of its own aside. A main part within a block that is
+set aside by a name is judged by the rest of the page: it counts if the name is a compound (has-sidebar) and it holds more text
+than the page's other main parts, or than what stands outside of any; or if the page has no other text.
 
 Occurrence vectors are never gathered: copies are taken out by a digest of their tokens, map-side first; then a vector is represented
 by two commutative 64-bit hashes over its pages, summed map-side per host and token, so a host that holds a third of all pages costs
@@ -54,34 +57,42 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dial
 @dataclass
 class Page:
     tokens: list[tuple[int, bool]] = field(default_factory=list)  # (token, is it an element), in page order
-    runs: list[tuple[int, str, bool, bool, bool, int]] = field(default_factory=list)  # (token or 0, text, in main, aside, in a link, block)
+    runs: list[tuple[int, str, int, bool, bool, int]] = field(default_factory=list)  # (token or 0, text, kind of main part or 0, aside, in a link, block)
     has_main: bool = False
 
 
-_known: dict[tuple, tuple[int, bool, bool]] = {}
+#: Kinds of main part: one without doubt; one in a block whose compound name (with-menu, post-comments) has a word of NAMES; one in
+#: a block that such a word names outright, or an article that is itself named so.
+SURE, DOUBTED, NAMED = 1, 2, 3
+_known: dict[tuple, tuple[int, bool, bool, int]] = {}
 
 
-def _element(above: int, tag: str, attributes: str, in_main: bool) -> tuple[int, bool, bool]:
-    """The element's token, whether it starts the main part, whether it stands aside."""
+def _element(above: int, tag: str, attributes: str, in_main: bool) -> tuple[int, bool, bool, int]:
+    """The element's token, whether it starts a main part, whether it stands aside for sure, and whether it does by its names: 0 no,
+    DOUBTED by a part of one, NAMED by a whole one."""
     key = (above, tag, attributes, in_main)
     if key not in _known:
         if len(_known) > 200_000:
             _known.clear()
         said = {m[1].lower(): next((x for x in m.groups()[1:] if x is not None), "") for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
-        names = set(re.split(r"[^a-z]+", f"{said.get('class', '')} {said.get('id', '')}".lower()))
+        whole = f"{said.get('class', '')} {said.get('id', '')}".lower().split()
+        named = NAMED if set(whole) & NAMES else DOUBTED if set(re.split(r"[^a-z]+", " ".join(whole))) & NAMES else 0
         main = tag in ("article", "main") or said.get("role", "").lower() in ("main", "article")
-        aside = tag in ASIDE or tag == "header" and not in_main or bool(names & NAMES) or said.get("role", "").lower() in ROLES or "hidden" in said
+        if tag in ("html", "body", "main") or tag == "article" and not (whole and set(whole) <= NAMES):
+            named = 0  # the page and its main parts; an article with no other name than comment or the like is a reader's or an advert
+        aside = tag in ASIDE or tag == "header" and not in_main or said.get("role", "").lower() in ROLES or "hidden" in said
         name = f"{above:x}>{tag}.{re.sub(r'[0-9]+', '#', said.get('class', ''))}#{re.sub(r'[0-9]+', '#', said.get('id', ''))}"
-        _known[key] = (xxhash.xxh64_intdigest(name) | 1, main, aside)
+        _known[key] = (xxhash.xxh64_intdigest(name) | 1, main, aside, named)
     return _known[key]
 
 
 def read_page(source: str) -> Page:
     page, at, block = Page(), 0, 0
-    stack: list[tuple[str, int, bool, bool, bool]] = [("", 1, False, False, False)]  # (tag, token, in main, aside, in a link)
+    stack: list[tuple[str, int, int, bool, bool, int]] = [("", 1, 0, False, False, 0)]  # (tag, token, kind of main part, aside for sure, in a link, aside by name)
 
     def text(raw: str) -> None:
-        _, path, main, aside, link = stack[-1]
+        _, path, main, sure, link, named = stack[-1]
+        aside = sure or named > 0
         if raw and not raw.isspace():
             token = 0
             if not main:
@@ -135,13 +146,17 @@ def read_page(source: str) -> Page:
                         break
             if tag in ("td", "th"):
                 text(" ")
-            _, path, main, aside, link = stack[-1]
-            token, starts, off = _element(path, tag, m[3], main)
+            _, path, main, aside, link, named = stack[-1]
+            token, starts, off, off_named = _element(path, tag, m[3], main > 0)
+            named = max(named, off_named)
             structural = tag in BLOCK or tag in ("a", "td", "th", "button", "label", "span")
             if structural and not main:
                 page.tokens.append((token, True))
-            page.has_main |= starts and not aside and not off
-            stack.append((tag, token if structural else path, main or starts and not aside, aside or off, link or tag == "a"))
+            if starts and not aside and not off and (not main or named == DOUBTED):
+                # what stands around a main part says how far it is one; within it names count anew
+                main, named = (SURE if not named or tag == "main" and named == DOUBTED else named), 0
+                page.has_main |= main == SURE
+            stack.append((tag, token if structural else path, main, aside or off, link or tag == "a", named))
         m = TOKEN.search(source, at)
     text(source[at:])
     return page
@@ -168,19 +183,33 @@ def _within(a: list[int], b: list[int]) -> bool:
     return sum(x < a[0] for x in b) == sum(x < a[-1] for x in b)
 
 
-def main_text(page: Page, template: set[int]) -> str:
+def _slots(page: Page, template: set[int], kinds: set[int]) -> str:
+    """The text of the slots in main parts of these kinds (0: outside of any)."""
     blocks: dict[int, list[tuple[str, bool]]] = {}
     for token, raw, main, aside, link, block in page.runs:
-        if not aside and (main or not page.has_main) and (main or token not in template):
+        if not aside and main in kinds and (main or token not in template):
             blocks.setdefault(block, []).append((raw, link))
     out = []
     for parts in blocks.values():
         whole = " ".join(html.unescape("".join(p for p, _ in parts)).split())
-        if whole and (page.has_main or 2 * sum(len(p.strip()) for p, link in parts if link) <= len(whole)):
+        if whole and (0 not in kinds or 2 * sum(len(p.strip()) for p, link in parts if link) <= len(whole)):
             out.append(whole)
     return "\n".join(out)
 
 
+def main_text(page: Page, template: set[int]) -> str:
+    """Sure main parts, or else what stands outside of any; doubted ones where they hold more than that, named ones where nothing else
+    is left."""
+    kinds = {SURE} if page.has_main else {0}
+    out = _slots(page, template, kinds)
+    found = {x[2] for x in page.runs}
+    if DOUBTED in found and len(_slots(page, template, {DOUBTED})) > len(out):
+        out = _slots(page, template, {SURE, DOUBTED})
+    if not out and NAMED in found:
+        out = _slots(page, template, {NAMED})
+    return out
+
+
 def _host(url: str | None) -> int:
     return xxhash.xxh64_intdigest(host_and_path(url)[0].encode("utf-8", "surrogatepass"))
 

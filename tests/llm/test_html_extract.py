@@ -88,3 +88,22 @@ def test_copies_without_article_count_once(spark):
     got = {r["page_id"]: r["text"] for r in H.extract(frame(spark, data)).collect()}
     assert {got[i] for i in range(20)} == {"Licence\nThe same words on every page.\nAnd some more."}
     assert [got[20 + i] for i in range(3)] == [f"other {i}" for i in range(3)]
+
+
+def test_names_do_not_set_the_main_part_aside():
+    story = "<h1>Head</h1><p>The story is told here at length.</p>"
+    want = "Head\nThe story is told here at length."
+    for page in (
+        f"<html class='no-menu'><body class='has-sidebar'><article>{story}</article></body></html>",
+        f"<body class='sidebar'><div>{story}</div></body>",
+        f"<main class='with-menu'>{story}</main>",
+        f"<article class='post comment-open'>{story}</article><div class='comments'><article class='comment'>reader</article></div>",
+        f"<div class='layout has-sidebar'><div class='sidebar'>side</div><main>{story}<div class='share-box'>share</div></main></div>",
+        f"<div class='content-with-sidebar'><article>{story}</article></div><p>small print</p>",
+        f"<main><div class='with-sidebar'><article>{story}</article></div></main>",
+        f"<div class='widget'><article>{story}</article></div>",
+        f"<article class='comment'>{story}</article>",
+        f"<article>{story}</article><div class='related-posts'><article>teaser</article></div>",
+        f"<div>{story}</div><div id='comments'><article>reader {'words ' * 40}</article></div><div class='comment-list'><article>short</article></div>",
+    ):
+        assert text(page) == want, page
