@@ -1,7 +1,7 @@
 """Main text of web pages by equivalence classes of template tokens.
 
-A page is read as a sequence of tokens: element starts (tag, class and id under the path of open elements) and, outside an
-article or main element, text runs under their path. Over the different pages of one host (copies, pages of one token sequence,
+A page is read as a sequence of tokens: element starts (tag, class and id under the path of open elements) and text
+runs under their path, within article and main elements, too. Over the different pages of one host (copies, pages of one token sequence,
 count once under any number of urls) every token has an occurrence vector: how often each page holds it. Tokens with equal vectors form an equivalence class; a class is part of the host's template if its tokens
 stand once on each of at least MIN_SHARE of the host's pages (MIN_PAGES at least) and there are two or more of them, one an
 element. On a page the classes are laid over the token sequence, largest support first, and a class counts if all its tokens
@@ -11,7 +11,8 @@ it say otherwise (menus, headers, footers, sidebars, notices, adverts, forms, sc
 the page has an article or main element only slots within it count; elsewhere blocks that are mostly links are dropped, too.
 Names of class and id never set html, body, main or an article with a name of its own aside. A main part within a block that is
 set aside by a name is judged by the rest of the page: it counts if the name is a compound (has-sidebar) and it holds more text
-than the page's other main parts, or than what stands outside of any; or if the page has no other text.
+than the page's other main parts, or than what stands outside of any; or if the page has no other text. A main part that the
+template covers whole keeps its text.
 
 Occurrence vectors are never gathered: copies are taken out by a digest of their tokens, map-side first; then a vector is represented
 by two commutative 64-bit hashes over its pages, summed map-side per host and token, so a host that holds a third of all pages costs
@@ -94,10 +95,8 @@ def read_page(source: str) -> Page:
         _, path, main, sure, link, named = stack[-1]
         aside = sure or named > 0
         if raw and not raw.isspace():
-            token = 0
-            if not main:
-                token = xxhash.xxh64_intdigest(" ".join(raw.split()), path & MASK) & ~1
-                page.tokens.append((token, False))
+            token = xxhash.xxh64_intdigest(" ".join(raw.split()), path & MASK) & ~1
+            page.tokens.append((token, False))
             page.runs.append((token, raw, main, aside, link, block))
         elif raw and page.runs and page.runs[-1][5] == block:
             page.runs.append((0, " ", main, aside, link, block))
@@ -150,7 +149,7 @@ def read_page(source: str) -> Page:
             token, starts, off, off_named = _element(path, tag, m[3], main > 0)
             named = max(named, off_named)
             structural = tag in BLOCK or tag in ("a", "td", "th", "button", "label", "span")
-            if structural and not main:
+            if structural:
                 page.tokens.append((token, True))
             if starts and not aside and not off and (not main or named == DOUBTED):
                 # what stands around a main part says how far it is one; within it names count anew
@@ -187,7 +186,7 @@ def _slots(page: Page, template: set[int], kinds: set[int]) -> str:
     """The text of the slots in main parts of these kinds (0: outside of any)."""
     blocks: dict[int, list[tuple[str, bool]]] = {}
     for token, raw, main, aside, link, block in page.runs:
-        if not aside and main in kinds and (main or token not in template):
+        if not aside and main in kinds and token not in template:
             blocks.setdefault(block, []).append((raw, link))
     out = []
     for parts in blocks.values():
@@ -199,14 +198,16 @@ def _slots(page: Page, template: set[int], kinds: set[int]) -> str:
 
 def main_text(page: Page, template: set[int]) -> str:
     """Sure main parts, or else what stands outside of any; doubted ones where they hold more than that, named ones where nothing else
-    is left."""
+    is left. Main parts without any slot keep their template text."""
     kinds = {SURE} if page.has_main else {0}
     out = _slots(page, template, kinds)
     found = {x[2] for x in page.runs}
+    if not out and page.has_main:
+        out = _slots(page, set(), kinds)
     if DOUBTED in found and len(_slots(page, template, {DOUBTED})) > len(out):
         out = _slots(page, template, {SURE, DOUBTED})
     if not out and NAMED in found:
-        out = _slots(page, template, {NAMED})
+        out = _slots(page, template, {NAMED}) or _slots(page, set(), {NAMED})
     return out
 
 

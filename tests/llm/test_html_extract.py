@@ -107,3 +107,15 @@ def test_names_do_not_set_the_main_part_aside():
         f"<div>{story}</div><div id='comments'><article>reader {'words ' * 40}</article></div><div class='comment-list'><article>short</article></div>",
     ):
         assert text(page) == want, page
+
+
+def test_template_text_within_articles_goes(spark):
+    article = "<html><body><nav>menu</nav><article><h1>Title {0}</h1><p>Story {0} is told here.</p>{1}<div><p>Tell your friends about us.</p></div></article></body></html>"
+    data = [(i, f"http://h.org/{i}", article.format(i, "<p>It goes on.</p>" if i % 3 == 0 else "")) for i in range(12)]
+    data += [(100 + i, f"http://h.org/copy{i}", article.format(50, "")) for i in range(40)]  # copies do not make their article a template
+    data += [(200, "http://h.org/bare", "<html><body><article><div><p>Tell your friends about us.</p></div></article></body></html>")]
+    got = {r["page_id"]: r["text"] for r in H.extract(frame(spark, data)).collect()}
+    for i in range(12):
+        assert got[i] == f"Title {i}\nStory {i} is told here." + ("\nIt goes on." if i % 3 == 0 else "")
+    assert {got[100 + i] for i in range(40)} == {"Title 50\nStory 50 is told here."}
+    assert got[200] == "Tell your friends about us."
