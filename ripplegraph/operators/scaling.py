@@ -6,13 +6,19 @@ denominator give the stated default. Results are rounded to six places.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ripplegraph.functions.keyed import unit, wrapping
 from ripplegraph.functions.running import running_sum
+from ripplegraph.runtime import ship
 
+#: Shuffles that one draw makes, and the most counts it makes at once.
+TRIALS_AT_ONCE, CELLS_AT_ONCE = 256, 1 << 20
 CONFIG = ("label", "processes", "threads", "people", "network")
 
 
@@ -91,19 +97,44 @@ def pair_wins(x: DataFrame, y: DataFrame) -> DataFrame:
     return scored.agg(F.coalesce(F.sum("won"), F.lit(0.0)).alias("wins"), (F.coalesce(F.sum("xs"), F.lit(0)) * F.coalesce(F.sum("ys"), F.lit(0))).alias("pairs"))
 
 
-def permutation_test(x: DataFrame, y: DataFrame, trials: int = 2000, seed: int = 12345) -> DataFrame:
-    """One row: observed median(y) - median(x), and p = (hits + 1) / (trials + 1) over label shuffles keyed (seed, run, trial)."""
+def _medians(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The median of each row of counts over the ascending values; counts of a row have the same sum, not 0."""
+    upto = np.cumsum(counts, axis=1)
+    n = int(upto[0, -1])
+    low, high = ((upto <= k).sum(axis=1) for k in ((n - 1) // 2, n // 2))
+    return 0.5 * values[low] + 0.5 * values[high]
+
+
+def permutation_test(x: DataFrame, y: DataFrame, trials: int = 200_000, seed: int = 12345) -> DataFrame:
+    """One row: observed median(y) - median(x), and p = (hits + 1) / (trials + 1) over label shuffles keyed (seed, block of trials).
+
+    Runs of equal time are alike, so a shuffle is drawn as how many of each time's runs get the first label (multivariate
+    hypergeometric). Times and their counts go to the driver and every task: as many numbers as there are different times, however
+    many runs there are (fewer than 10^9, as numpy draws). Null times aren't runs; without runs on a side observed is null."""
     spark = x.sparkSession
-    pool = x.select("seconds", F.lit(True).alias("mine")).unionAll(y.select("seconds", F.lit(False).alias("mine")))
-    pool = pool.withColumn("run", F.row_number().over(W.orderBy("mine", "seconds")) - 1)  # the runs of two configurations
-    n = x.count()
-    with wrapping(spark):
-        thrown = spark.range(trials).withColumnRenamed("id", "trial").crossJoin(F.broadcast(pool)).withColumn("u", unit(seed, "run", "trial", 0))  # trials x runs, the test itself
-    dealt = thrown.withColumn("first", F.row_number().over(W.partitionBy("trial").orderBy("u", "run")) <= n)
-    gap = F.median(F.when(~F.col("first"), F.col("seconds"))) - F.median(F.when(F.col("first"), F.col("seconds")))
-    seen = pool.agg((F.median(F.when(~F.col("mine"), F.col("seconds"))) - F.median(F.when(F.col("mine"), F.col("seconds")))).alias("observed"))
-    hits = dealt.groupBy("trial").agg(gap.alias("gap")).crossJoin(F.broadcast(seen)).agg(F.max("observed").alias("observed"), F.sum(F.when(F.col("gap") >= F.col("observed"), 1).otherwise(0)).alias("hits"))  # one row
-    return hits.select(F.round("observed", 6).alias("observed"), ((F.col("hits") + 1) / (trials + 1)).alias("p"))
+    ship(spark)
+    both = x.select("seconds", F.lit(1).alias("mine")).unionAll(y.select("seconds", F.lit(0).alias("mine"))).where("seconds IS NOT NULL")
+    bins = both.groupBy("seconds").agg(F.sum("mine").alias("xs"), F.count("*").alias("runs")).toArrow()
+    order = np.argsort(bins["seconds"].to_numpy().astype(np.float64))
+    values, xs, runs = bins["seconds"].to_numpy().astype(np.float64)[order], bins["xs"].to_numpy()[order], bins["runs"].to_numpy()[order]
+    n = int(xs.sum())
+    if n == 0 or n == runs.sum():
+        return spark.range(1).select(F.lit(None).cast("double").alias("observed"), F.lit(1 / (trials + 1)).alias("p"))
+    observed = float((_medians(values, (runs - xs)[None]) - _medians(values, xs[None]))[0])
+    held = spark.sparkContext.broadcast((values, runs))
+    block = max(1, min(TRIALS_AT_ONCE, CELLS_AT_ONCE // len(values)))
+
+    def shuffled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, runs = held.value
+        for b in batches:
+            hits = []
+            for k in b["id"].to_pylist():
+                first = np.random.Generator(np.random.Philox(key=[seed, k])).multivariate_hypergeometric(runs, n, size=min(block, trials - k * block))
+                hits.append(int((_medians(values, runs - first) - _medians(values, first) >= observed).sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(hits, pa.int64())], ["hits"])
+
+    hits = spark.range(-(-trials // block)).mapInArrow(shuffled, "hits long").agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"))
+    return hits.select(F.round(F.lit(observed), 6).alias("observed"), ((F.col("hits") + 1) / (trials + 1)).alias("p"))
 
 
 def amdahl_fit(runs: DataFrame) -> DataFrame:

@@ -113,7 +113,7 @@ def _wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _permuted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from_one = timings(spark, sf_dir).where("people = 100000 AND seq < 2000")
+    from_one = timings(spark, sf_dir).where("people = 100000")
     return scaling.permutation_test(from_one.where("processes = 4 AND threads = 2"), from_one.where("processes = 8 AND threads = 1"))
 
 

@@ -3,6 +3,7 @@ import random
 import statistics
 
 from ripplegraph.operators import scaling
+from ripplegraph.plans import catalog
 
 
 def test_best_keeps_its_own_row_and_the_first_of_ties(spark):
@@ -35,6 +36,24 @@ def test_permutation(spark):
     assert abs(p - hits / len(deals)) < 0.03
 
 
+def test_permutation_covers_all_runs(spark, tmp_path):
+    # the two configurations differ only in orders from 200 on
+    rows = [(k, 1 if k % 2 else 0, 2 if x else 3, 1 if x else 0, 5.0 + k % 7 + (20.0 if k >= 200 and not x else 0.0)) for k in range(1200) for x in (k % 2,)]
+    lines = [(k, 2 * p, s, n, q, 0.0, 0.0, "A", "F") for k, p, n, s, q in rows]
+    kind = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame(lines, kind).write.parquet(f"{tmp_path}/lineitem.parquet")
+    observed, p = catalog.queries()["permutation_test"](spark, str(tmp_path)).first()
+    x, y = ([r[4] for r in rows if r[3] == side] for side in (1, 0))
+    assert observed == round(statistics.median(y) - statistics.median(x), 6) > 10
+    assert p == 1 / 200_001
+
+
+def test_permutation_without_runs(spark):
+    none, one = (spark.createDataFrame(v, "seconds double") for v in ([], [(1.0,), (None,)]))
+    assert tuple(scaling.permutation_test(none, one, 9).first()) == (None, 0.1)
+    assert tuple(scaling.permutation_test(one, one, 9).first()) == (0.0, 1.0)
+
+
 def test_overlap(spark):
     rows = [("A", 0.0, 1.0), ("B", 0.5, 2.0), ("A", 1.0, 3.0), ("C", 2.0, 2.5), ("B", 2.2, 2.4)]
     t = spark.createDataFrame(rows, "task string, start double, stop double")
