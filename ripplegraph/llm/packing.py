@@ -9,9 +9,10 @@ each range and add up the ranges' totals (as many rows as partitions, the only t
 places back to the stored token ids and cut. Documents with equal text have equal keys and are told apart by doc_id, so
 a group of copies of any size is spread over as many ranges as it needs. The result doesn't depend on the partitioning.
 
-Token ids are those of byte_bpe_50k.json by `tokenizers` with encode_special_tokens set (strings that look like special
-tokens are ordinary text), and a closing 0. They are computed with tiktoken from the same vocabulary's rank file, which is
-five times as fast; tests hold both against each other.
+Token ids are those of byte_bpe_50k.json by `tokenizers` without special tokens added (one that stands in the text keeps its
+own id), and a closing 0. They are computed with tiktoken from the same vocabulary's rank file, which is
+five times as fast; texts with SPACES or more white-space characters in a row, which tiktoken's matcher can't take at any length, go
+to `tokenizers` itself. Tests hold both against each other.
 
 Defined cases: null and empty texts are the closing 0 alone; a null doc_id sorts first and stays null; repeated rows are
 packed each; other columns are ignored; very long documents span as many sequences as they need; an empty table gives an
@@ -21,6 +22,7 @@ empty result.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,13 +34,18 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from ripplegraph.llm import textkit
 from ripplegraph.runtime import drop, materialize, ship
 
 LENGTH = 1024
 DIMS, BITS, SLOTS = 3, 12, 1024
-RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+RANKS, NAMED = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
+SPECIAL = {"<|endoftext|>": 50256}
+SPACES, SPACED = 50_000, re.compile(r"\s{64,}")
+#: Coordinates are summed as whole numbers of 1 / SCALE, so that centre and spread don't depend on the order of tasks.
+SCALE = 1024
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -46,7 +53,12 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def encoder(ranks: str = RANKS) -> tiktoken.Encoding:
     with open(ranks, "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=SPECIAL)
+
+
+@lru_cache(1)
+def named_tokenizer(path: str = NAMED) -> Tokenizer:
+    return Tokenizer.from_file(path)
 
 
 @lru_cache(1)
@@ -55,7 +67,12 @@ def _projection() -> np.ndarray:
 
 
 def token_ids(text: str | None, ranks: str = RANKS) -> np.ndarray:
-    return np.array([*encoder(ranks).encode_ordinary(text or ""), 0], np.uint16)
+    text = text or ""
+    if len(text) >= SPACES and any(m.end() - m.start() >= SPACES for m in SPACED.finditer(text)):
+        ids = named_tokenizer().encode(text, add_special_tokens=False).ids
+    else:
+        ids = encoder(ranks).encode(text, allowed_special="all")
+    return np.array([*ids, 0], np.uint16)
 
 
 def place(ids: np.ndarray) -> np.ndarray:
@@ -152,8 +169,11 @@ def pack(documents: DataFrame, length: int = LENGTH, ranks: str = RANKS) -> Data
     ship(spark)
     points = [f"p{d}" for d in range(DIMS)]
     tokens = materialize(documents.select("doc_id", "text").mapInArrow(_tokenized(ranks), f"row long, doc_id long, n long, ids binary, {', '.join(f'{p} double' for p in points)}"), "packing-tokens")
-    told = tokens.agg(*(F.coalesce(F.avg(p), F.lit(0.0)) for p in points), *(F.coalesce(F.stddev_pop(p), F.lit(0.0)) for p in points)).first()
-    keyed = tokens.select("row", "doc_id", "n", *points).mapInArrow(_keyed(list(told[:DIMS]), [max(s, 1e-9) for s in told[DIMS:]]), "row long, doc_id long, n long, key long")
+    whole = [F.round(F.col(p) * SCALE).cast("decimal(18,0)") for p in points]
+    n, *told = tokens.agg(F.count("*"), *(F.coalesce(F.sum(x), F.lit(0)) for x in whole), *(F.coalesce(F.sum(x * x), F.lit(0)) for x in whole)).first()
+    centre = [float(t) / max(n, 1) / SCALE for t in told[:DIMS]]
+    spread = [max(float(t) / max(n, 1) / SCALE**2 - c * c, 0) ** 0.5 for t, c in zip(told[DIMS:], centre, strict=True)]
+    keyed = tokens.select("row", "doc_id", "n", *points).mapInArrow(_keyed(centre, [max(s, 1e-9) for s in spread]), "row long, doc_id long, n long, key long")
     keyed = materialize(keyed, "packing-keys")
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_rows = keyed.repartitionByRange(ranges, "key", "doc_id", "row").sortWithinPartitions("key", "doc_id", "row")

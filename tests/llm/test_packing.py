@@ -15,9 +15,40 @@ def frame(spark, data=TEXTS):
 
 def test_ids_are_those_of_the_named_tokenizer():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    for _, text in TEXTS:
+    more = ["<|endoftext|>", "a<|endoftext|><|endoftext|> b", "a" + " " * 49_999 + "b", "x" * 300_000, "\x1c" * 60_000 + "\t"]
+    for text in [x for _, x in TEXTS] + more:
         assert P.token_ids(text).tolist() == t.encode(text or "", add_special_tokens=False).ids + [0]
+    assert 50256 in P.token_ids("a <|endoftext|> b")
+
+
+def test_long_white_space():
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in (" " * 3_000_000, " " * 3_000_000 + "a", "\n" * 1_000_000 + "a", "\t" * 1_000_000, "w " * 30_000 + "\u3000" * 60_000 + " end"):
+        assert P.token_ids(text).tolist() == t.encode(text, add_special_tokens=False).ids + [0]
+
+
+def test_the_whole_query_is_a_plain_sort_by_the_curve(spark, tmp_path):
+    """By one process: vectors, whole sums, keys, one sort, one cut."""
+    rnd = np.random.default_rng(5)
+    texts = [None if i % 31 == 0 else " ".join(rnd.choice(["lake", "boat", "wheel", "gear", "flour", "oven", "é1"], int(rnd.integers(0, 400)))) for i in range(300)]
+    rows = [(i // 2, t) for i, t in enumerate(texts)]
+    frame(spark, rows).repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in P.op4_packing(spark, str(tmp_path)).collect())
+    ids = [P.token_ids(t) for _, t in rows]
+    points = np.stack([P.place(x) for x in ids])
+    half_up = lambda x: np.sign(x) * np.floor(np.abs(x) + 0.5)
+    whole = half_up(points * P.SCALE)
+    centre = whole.sum(0) / len(rows) / P.SCALE
+    spread = np.sqrt((whole**2).sum(0) / len(rows) / P.SCALE**2 - centre**2)
+    key = P.hilbert(np.minimum(1 / (1 + np.exp(-1.7 * (points - centre) / spread)) * (1 << P.BITS), (1 << P.BITS) - 1))
+    want, at = [], 0
+    for i in sorted(range(len(rows)), key=lambda i: (key[i], rows[i][0])):
+        x, done = ids[i].astype("<u4"), 0
+        while done < len(x):
+            take = min(P.LENGTH - at % P.LENGTH, len(x) - done)
+            want.append((rows[i][0], done, take, zlib.crc32(x[done : done + take].tobytes()), len(x), at // P.LENGTH, at % P.LENGTH))
+            done, at = done + take, at + take
+    assert got == sorted(want)
 
 
 def test_every_id_lies_in_one_piece_and_sequences_are_full(spark):
