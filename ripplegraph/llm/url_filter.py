@@ -4,8 +4,9 @@ The array is one file: the sorted 64-bit xxhash keys of all rule strings (host s
 of each string, the strings themselves and one verdict byte each. Spark hands the file to every executor, each Python
 worker maps it into memory, and a batch of URLs probes it at once: for every host suffix and every path length that occurs
 in the rules there is one candidate string; its key is looked up by vectorised binary search, and a hit counts only if the
-stored string equals the candidate, so colliding keys are harmless. A URL costs (labels of its host) x (path lengths in the
-rules) probes, whatever the size of the list.
+stored string equals the candidate, so colliding keys are harmless. Suffixes longer than any rule's host can't match and
+aren't probed, so a URL costs at most (labels in the longest rule host's length) x (path lengths in the rules) probes, however
+long its host and the list are.
 
 Defined cases: a null URL or one without "://" has an empty host and path and meets no rule; repeated rows are judged one by
 one; other columns are ignored; among rules that fit the longest string wins (on a tie the longer host); of two rules with
@@ -14,11 +15,7 @@ the same string the last given holds; a URL that meets no rule gets the default
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,6 +24,7 @@ import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
+from ripplegraph.llm.handout import hand_out
 from ripplegraph.runtime import ship
 
 MAGIC = np.uint64(0x5249504C55524C31)
@@ -46,14 +44,16 @@ def host_and_path(url: str | None) -> tuple[str, str]:
 
 
 def write_array(rules: Iterable[tuple[str, str, str]], path: str) -> None:
-    """rules: (verdict, host, path prefix). Little-endian 64-bit words: magic, n, number of path lengths, those lengths, keys, places; then verdicts and strings."""
-    held = {(host.translate(LOWER) + prefix).encode("utf-8", "surrogatepass"): (VERDICTS.index(verdict), len(prefix)) for verdict, host, prefix in rules}
-    rows = sorted((xxhash.xxh64_intdigest(s), s, v) for s, (v, _) in held.items())
-    lengths = sorted({n for _, n in held.values()})
+    """rules: (verdict, host, path prefix). Little-endian 64-bit words: magic, n, number of path lengths, the longest
+    host's length, path lengths, keys, places; then verdicts and strings."""
+    held = {(host.translate(LOWER) + prefix).encode("utf-8", "surrogatepass"): (VERDICTS.index(verdict), len(prefix), len(host)) for verdict, host, prefix in rules}
+    rows = sorted((xxhash.xxh64_intdigest(s), s, v) for s, (v, _, _) in held.items())
+    lengths = sorted({n for _, n, _ in held.values()})
+    longest = max((n for _, _, n in held.values()), default=0)
     places = np.zeros(len(rows) + 1, np.uint64)
     np.cumsum([len(s) for _, s, _ in rows], out=places[1:])
     with open(path, "wb") as f:
-        f.write(np.array([MAGIC, len(rows), len(lengths), *lengths], np.uint64).tobytes())
+        f.write(np.array([MAGIC, len(rows), len(lengths), longest, *lengths], np.uint64).tobytes())
         f.write(np.array([k for k, _, _ in rows], np.uint64).tobytes())
         f.write(places.tobytes())
         f.write(bytes(v for _, _, v in rows))
@@ -62,14 +62,14 @@ def write_array(rules: Iterable[tuple[str, str, str]], path: str) -> None:
 
 class DigestArray:
     def __init__(self, path: str):
-        if os.path.getsize(path) < 24:
+        if os.path.getsize(path) < 32:
             raise ValueError(f"{path} is not a digest array")
         raw = np.memmap(path, np.uint8, "r")
-        magic, n, m = (int(x) for x in raw[:24].view(np.uint64))
+        magic, n, m, self.longest = (int(x) for x in raw[:32].view(np.uint64))
         if magic != int(MAGIC):
             raise ValueError(f"{path} is not a digest array")
-        at = 24 + 8 * m
-        self.lengths = [int(x) for x in raw[24:at].view(np.uint64)]
+        at = 32 + 8 * m
+        self.lengths = [int(x) for x in raw[32:at].view(np.uint64)]
         self.keys = raw[at : at + 8 * n].view(np.uint64)
         self.places = raw[at + 8 * n : at + 16 * n + 8].view(np.uint64)
         self.verdicts = raw[at + 16 * n + 8 : at + 17 * n + 8]
@@ -97,7 +97,7 @@ class DigestArray:
         candidates, owner, rank = [], [], []
         for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
             prefixes = [path[:n] for n in self.lengths if n <= len(path)]
-            suffix = host
+            suffix = host if len(host) <= self.longest else host[-self.longest - 1 :].partition(".")[2]
             while suffix:
                 for p in prefixes:
                     candidates.append((suffix + p).encode("utf-8", "surrogatepass"))
@@ -111,20 +111,10 @@ class DigestArray:
         return [best.get(i, (None, -1))[1] for i in range(len(hosts))]
 
 
-def _hand_out(spark: SparkSession, rules: Iterable[tuple[str, str, str]]) -> str:
-    """Write the array where Spark's file server takes it from (kept until the driver ends), and name it."""
-    name = f"url-rules-{uuid.uuid4().hex}.bin"
-    folder = tempfile.mkdtemp(prefix="url-rules-")
-    atexit.register(shutil.rmtree, folder, True)
-    write_array(rules, f"{folder}/{name}")
-    spark.sparkContext.addFile(f"{folder}/{name}")
-    return name
-
-
 def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]], default: str = "allow") -> DataFrame:
     """pages(page_id, url) to (page_id, host, path, rule, verdict)."""
     ship(pages.sparkSession)
-    name = _hand_out(pages.sparkSession, rules)
+    name = hand_out(pages.sparkSession, "url-rules", lambda path: write_array(rules, path))
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         array = DigestArray(SparkFiles.get(name))

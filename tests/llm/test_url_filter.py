@@ -47,6 +47,14 @@ def test_colliding_keys_are_told_apart(tmp_path, monkeypatch):
     assert array.judge(["h99.com"], ["/x"]) == [-1]
 
 
+def test_a_host_of_a_megabyte(tmp_path):
+    U.write_array(U.RULES, str(tmp_path / "a"))
+    array = U.DigestArray(str(tmp_path / "a"))
+    hosts = ["a." * 500_000 + h for h in ("example.org", "com", "xcom", "net")] + ["x" * 1_000_000, "." * 1_000_000 + "org", ".org", "xample.org"]
+    told = [array.string(j).decode() if j >= 0 else None for j in array.judge(hosts, ["/de/"] * len(hosts))]
+    assert told == ["org/", "com/de/", None, None, None, "org/", "org/", "org/"]
+
+
 def test_empty_list(tmp_path):
     U.write_array([], str(tmp_path / "a"))
     assert U.DigestArray(str(tmp_path / "a")).judge(["a.b"], ["/"]) == [-1]
