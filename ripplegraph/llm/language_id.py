@@ -5,8 +5,8 @@ codes). One logistic classifier over hashed character n-grams (1 to 3, of the lo
 one gap, square roots of their shares) predicts each bit. Decoding weighs each bit's logistic loss by how well that bit was
 learned for the language, takes the language with the least loss, and flags the text where the next one is near.
 
-The classifiers are fitted on a bounded sample: SAMPLE_ROWS texts in all, the same number for each language, those with the
-smallest hash of doc_id. Everything else runs over all rows and whole texts; a row's prediction depends on its text alone.
+The classifiers are fitted on a bounded sample: SAMPLE_ROWS texts in all, the same number for each language but two at least,
+those with the smallest hash of doc_id. Any number of languages is learned. Everything else runs over all rows and whole texts; a row's prediction depends on its text alone.
 
 Defined cases: a null text or one without a letter is `und` with score 0; rows with a null lang, a null text or a null
 doc_id are not learned from; a null doc_id is not held out; repeated rows get equal predictions; other columns are ignored;
@@ -30,7 +30,6 @@ from ripplegraph.runtime import ship
 
 SLOTS = 4096
 SAMPLE_ROWS = 2000
-MAX_LANGUAGES = 500
 AMBIGUOUS, LEAST_SCORE = 0.7, 0.3
 OUT = "lang_pred string, score double, ambiguous boolean"
 
@@ -62,10 +61,14 @@ def code_matrix(k: int) -> np.ndarray:
     if k <= 5:
         return np.array([[1, *bits] for bits in product((1, -1), repeat=k - 1)][1:], np.float32).T
     bits, best = 10 * int(np.ceil(np.log2(k))), None
-    for seed in range(64):
+    for seed in range(16):
         m = np.random.default_rng(seed).choice([-1.0, 1.0], (k, bits)).astype(np.float32)
         m = m[:, np.abs(m.sum(0)) < k]
-        nearest = (m @ m.T - 2 * m.shape[1] * np.eye(k)).max()
+        nearest = -np.inf
+        for lo in range(0, k, 512):
+            same = m[lo : lo + 512] @ m.T
+            same[np.arange(len(same)), np.arange(lo, lo + len(same))] = -np.inf
+            nearest = max(nearest, float(same.max()))
         if best is None or nearest < best[0]:
             best = (nearest, m)
     return best[1]
@@ -85,7 +88,10 @@ class Model:
         if not self.languages:
             return ["und"] * len(texts), [0.0] * len(texts), [False] * len(texts)
         margins = x @ self.weights + self.bias
-        loss = np.stack([(t * np.logaddexp(0, -c * margins)).sum(1) for c, t in zip(self.code, self.trust, strict=True)], 1)
+        if len(self.languages) == 1:
+            loss = np.zeros((len(texts), 1))
+        else:
+            loss = np.logaddexp(0, -margins) @ (self.trust * (self.code > 0)).T + np.logaddexp(0, margins) @ (self.trust * (self.code < 0)).T
         share = np.exp(loss.min(1, keepdims=True) - loss)
         share /= share.sum(1, keepdims=True)
         best = share.argmax(1)
@@ -127,16 +133,14 @@ def train(labelled: DataFrame) -> Model:
     spark = labelled.sparkSession
     ship(spark)
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    counts = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = rows.groupBy("lang").count().collect()  # as many rows as languages
     each = max(2, SAMPLE_ROWS // max(len(counts), 1))
     # hashes below this share hold about three times the rows wanted, so that no language brings more to its one window task
     share = spark.createDataFrame([(r["lang"], min(1.0, 3 * each / r["count"] + 1e-6)) for r in counts], "lang string, share double")
-    near = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)) < F.col("share")
-    nth = F.row_number().over(W.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id"))
-    ids = rows.select("lang", "doc_id").join(F.broadcast(share), "lang").where(near).withColumn("nth", nth).where(F.col("nth") <= each).select("doc_id").distinct()
-    some = rows.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id", "left_semi")  # at most SAMPLE_ROWS numbers
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    near = (draw / float(1 << 30)) < F.col("share")
+    nth = F.row_number().over(W.partitionBy("lang").orderBy("draw", "doc_id", F.xxhash64("text")))  # each task keeps so many rows before the shuffle, too
+    some = rows.join(F.broadcast(share), "lang").where(near).select("lang", "doc_id", "text", draw.alias("draw")).withColumn("nth", nth).where(F.col("nth") <= each)
     got = some.select("lang", "text").mapInArrow(_hash_features, "lang string, x binary").toArrow()
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(-1, SLOTS).astype(np.float32)
     return fit(x, got["lang"].to_pylist())

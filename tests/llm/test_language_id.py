@@ -46,6 +46,28 @@ def test_few_or_no_languages(spark, write):
     assert L.op2_language_id(spark, write(documents=docs.limit(0))).count() == 0
 
 
+def test_six_hundred_languages(spark):
+    rnd = random.Random(11)
+    word = lambda k: "".join(chr(0x4E00 + 25 * k + rnd.randrange(25)) for _ in range(3))
+    rows = [(4 * k + i, " ".join(word(k) for _ in range(40)), f"l{k:03d}") for k in range(600) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.train(docs)
+    assert len(model.languages) == 600
+    said = model.predict([t for _, t, _ in rows])[0]
+    assert np.mean([a == r[2] for a, r in zip(said, rows, strict=True)]) > 0.9
+
+
+def test_one_doc_id_on_many_rows_brings_a_bounded_sample(spark, monkeypatch):
+    rnd = random.Random(12)
+    rows = [(7, text("aa", rnd, 2), "aa") for _ in range(100_000)] + [(i, text("bb", rnd, 5), "bb") for i in range(100, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sizes, real = [], L.fit
+    monkeypatch.setattr(L, "fit", lambda x, langs: sizes.append(len(x)) or real(x, langs))
+    for d in (docs, docs.withColumn("doc_id", F.when(F.col("doc_id") == 7, 5).otherwise(F.col("doc_id")))):
+        L.train(d)
+    assert all(n <= L.SAMPLE_ROWS for n in sizes)
+
+
 def test_codes_are_apart():
     for k in (2, 3, 4, 5, 6, 20, 60):
         m = L.code_matrix(k)
