@@ -28,21 +28,21 @@ def wrapping(spark: SparkSession) -> Iterator[None]:
         spark.conf.set("spark.sql.ansi.enabled", before)
 
 
-def _long(x: int) -> Column:
-    return F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
+def _signed(x: int) -> str:
+    return f"{x - (1 << 64) if x >> 63 else x}L" if x != 1 << 63 else "(-9223372036854775807L - 1L)"
 
 
-def _as_long(x: Column | int | str) -> Column:
-    return (F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(x)).cast("long")
+def unit_text(seed: int | str, node: int | str, step: int | str, counter: int | str) -> str:
+    """unit() as text: whole numbers, or SQL expressions."""
+    x = " + ".join(f"CAST({k} AS BIGINT) * {_signed(factor)}" for k, factor in ((seed, SEED_FACTOR), (node, NODE_FACTOR), (step, STEP_FACTOR), (counter, COUNTER_FACTOR)))
+    for shift, factor in ((30, FINAL_1), (27, FINAL_2)):
+        x = f"(({x}) ^ shiftrightunsigned({x}, {shift})) * {_signed(factor)}"
+    return f"CAST(shiftrightunsigned(({x}) ^ shiftrightunsigned({x}, 31), 11) AS DOUBLE) * {2.0**-53!r}D"
 
 
-def unit(seed: Column | int | str, node: Column | int | str, step: Column | int | str, counter: Column | int | str) -> Column:
-    """Build DataFrames that use it within wrapping(). Strings name columns; a seed isn't negative."""
-    x = _as_long(seed) * _long(SEED_FACTOR) + _as_long(node) * _long(NODE_FACTOR) + _as_long(step) * _long(STEP_FACTOR) + _as_long(counter) * _long(COUNTER_FACTOR)
-    for shift, factor in ((30, FINAL_1), (27, FINAL_2)):
-        x = x.bitwiseXOR(F.shiftrightunsigned(x, shift)) * _long(factor)
-    x = x.bitwiseXOR(F.shiftrightunsigned(x, 31))
-    return F.shiftrightunsigned(x, 11).cast("double") * F.lit(2.0**-53)
+def unit(seed: int | str, node: int | str, step: int | str, counter: int | str) -> Column:
+    """Build DataFrames that use it within wrapping(). Texts are SQL expressions, such as names of columns; a seed isn't negative."""
+    return F.expr(unit_text(seed, node, step, counter))
 
 
 def unit_of(seed: int, node: int, step: int, counter: int) -> float:

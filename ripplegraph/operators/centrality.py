@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ripplegraph.operators.graph import neighbours
 from ripplegraph.operators.seir import RECOVERED, SUSCEPTIBLE
 from ripplegraph.runtime import drop, materialize
 
@@ -17,27 +18,24 @@ def pagerank(people: DataFrame, adj: DataFrame, rounds: int = 20) -> DataFrame:
     """people(id) to (id, score): a fixed number of rounds from 1/n; a person without contacts ends at 0.15/n, and its share isn't
     dealt to others. Parallel edges weigh as often as they are listed.
 
-    What one gives another in a round is a fixed share of one's score, so shares are worked out once. Each person also gives
-    itself nothing, so that everyone turns up among the receivers: a round is then one join and one sum, both by person, with one
-    shuffle, and reads the scores once, so that several rounds are one plan.
+    Everyone's neighbours are lists of bounded length (a hub has many), so a round is one join with a row for each person and one sum by
+    person with one shuffle. A list with everyone itself and nothing to give makes everyone turn up among the receivers: scores are
+    read once a round, and several rounds are one plan.
     """
     n = people.count()
-    slots = adj.groupBy("src", "dst").agg(F.count("*").alias("slots"))
-    degrees = adj.groupBy("src").agg(F.count("*").alias("degree"))
-    shares = slots.join(degrees, "src").select("src", "dst", (F.col("slots") / F.col("degree")).alias("share"))
-    shares = shares.unionAll(people.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("share")))
-    shares = shares.repartition("src").sortWithinPartitions("src").persist()
+    lists = neighbours(adj).select("src", (F.lit(DAMPING) / F.col("degree")).alias("share"), "dsts")
+    lists = lists.unionAll(people.select(F.col("id").alias("src"), F.lit(0.0).alias("share"), F.array("id").alias("dsts")))
+    lists = lists.repartition("src").sortWithinPartitions("src").persist()
     scores = people.select(F.col("id").alias("src"), F.lit(1.0 / max(n, 1)).alias("score"))
     last = None
     for i in range(1, rounds + 1):
-        given = shares.join(scores, "src")
-        scores = given.groupBy(F.col("dst").alias("src")).agg((F.lit((1 - DAMPING) / max(n, 1)) + DAMPING * F.sum(F.col("score") * F.col("share"))).alias("score"))
+        scores = lists.join(scores, "src").select((F.col("score") * F.col("share")).alias("gift"), F.explode("dsts").alias("src")).groupBy("src").agg((F.lit((1 - DAMPING) / max(n, 1)) + F.sum("gift")).alias("score"))
         if i % CUT == 0 or i == rounds:
             scores = materialize(scores, "pagerank")
             if last is not None:
                 drop(last)
             last = scores
-    shares.unpersist()
+    lists.unpersist()
     return scores.select(F.col("src").alias("id"), "score")
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ripplegraph.functions.running import running_sum
 
+LIST = 4096
+
 
 def contacts(orders: DataFrame) -> DataFrame:
     """edges(a, b): customers whose orders follow each other on the same day; a customer is no contact of its own."""
@@ -27,6 +29,14 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionAll(edges.select(F.col("b").alias("src"), F.col("a").alias("dst")))
 
 
+def neighbours(adj: DataFrame, most: int = LIST) -> DataFrame:
+    """adj(src, dst) to (src, degree, dsts): each node's slots as lists of about `most` at most, so that a join by src sees a row for each
+    node, and a hub's slots are dealt over many rows. degree is that of the node, not of the list."""
+    degrees = adj.groupBy("src").agg(F.count("*").alias("degree"))
+    part = F.when(F.col("degree") > most, F.pmod(F.xxhash64("dst"), F.ceil(F.col("degree") / most))).otherwise(0)
+    return adj.join(degrees, "src").groupBy("src", "degree", part.alias("part")).agg(F.collect_list("dst").alias("dsts")).select("src", "degree", "dsts")
+
+
 def degree(people: DataFrame, adj: DataFrame) -> DataFrame:
     """people(id) to (id, degree), 0 for the isolated."""
     count = adj.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))

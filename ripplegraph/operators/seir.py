@@ -6,15 +6,14 @@ States: 0 susceptible, 1 exposed, 2 infectious, 3 recovered. A day reads the sta
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ripplegraph.functions.keyed import unit, wrapping
-from ripplegraph.runtime import drop, forget, materialize, shared_dir
+from ripplegraph.functions.keyed import unit, unit_text, wrapping
+from ripplegraph.operators.graph import neighbours
+from ripplegraph.runtime import drop, materialize
 
 SUSCEPTIBLE, EXPOSED, INFECTIOUS, RECOVERED = range(4)
 NAMES = ("susceptible", "exposed", "infectious", "recovered")
@@ -53,23 +52,21 @@ def exposures(adj: DataFrame, state: DataFrame) -> DataFrame:
     return adj.join(sick, "src").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("k"))
 
 
-def transition(epidemic: Epidemic, day: int) -> Column:
-    """The next state from st and k (null: 0)."""
-    caught = F.exists(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("k") - 1, F.lit(0))), lambda c: unit(epidemic.seed, "id", day, c) < epidemic.beta)
-    one = unit(epidemic.seed, "id", day, 0)
-    return (
-        F.when((F.col("st") == SUSCEPTIBLE) & (F.col("k") > 0), F.when(caught, EXPOSED).otherwise(SUSCEPTIBLE))
-        .when((F.col("st") == EXPOSED) & (one < epidemic.sigma), INFECTIOUS)
-        .when((F.col("st") == INFECTIOUS) & (one < epidemic.gamma), RECOVERED)
-        .otherwise(F.col("st"))
-        .cast("int")
-    )
+def moved(epidemic: Epidemic, st: str, k: str, day: int | str, first: str) -> Column:
+    """The next state from the columns st and k; `first` is the person's first throw of the day, which most need alone."""
+    more = f"exists(sequence(1L, greatest({k} - 1L, 1L)), c -> {unit_text(epidemic.seed, 'id', day, 'c')} < {epidemic.beta!r}D)"
+    return F.expr(f"""CAST(CASE
+        WHEN {st} = {SUSCEPTIBLE} AND {k} > 0 THEN IF({first} < {epidemic.beta!r}D OR ({k} > 1 AND {more}), {EXPOSED}, {SUSCEPTIBLE})
+        WHEN {st} = {EXPOSED} AND {first} < {epidemic.sigma!r}D THEN {INFECTIOUS}
+        WHEN {st} = {INFECTIOUS} AND {first} < {epidemic.gamma!r}D THEN {RECOVERED}
+        ELSE {st} END AS INT)""")
 
 
 def step(adj: DataFrame, state: DataFrame, epidemic: Epidemic, day: int) -> DataFrame:
     """state(id, st) of `day` (from 0) to that of the day after."""
     with wrapping(state.sparkSession):
-        return state.join(exposures(adj, state), "id", "left").select("id", transition(epidemic, day).alias("st"))
+        met = state.join(exposures(adj, state), "id", "left").select("id", "st", F.coalesce("k", F.lit(0).cast("long")).alias("k"), unit(epidemic.seed, "id", day, 0).alias("u"))
+        return met.select("id", moved(epidemic, "st", "k", day, "u").alias("st"))
 
 
 def counters() -> list[Column]:
@@ -98,62 +95,52 @@ class Days:
         return (day, *(seen.get[name] for name in NAMES))
 
 
-def _course(rows: DataFrame, epidemic: Epidemic) -> DataFrame:
-    """rows(id, exposed_at, infectious_at, recovered_at) with the days that aren't known yet filled in. Each follows from the one before by
-    the person's own dice; null is beyond the last day. Build it within wrapping()."""
-    last = epidemic.days
+class Rounds:
+    """Two days in one job. The expressions are built once, and the day is a column, so that all rounds run the same compiled code."""
+
+    def __init__(self, lists: DataFrame, epidemic: Epidemic):
+        self.lists = lists
+        u, v = unit(epidemic.seed, "id", "day", 0).alias("u"), unit(epidemic.seed, "id", "day + 1", 0).alias("v")
+        self.active = ["id", "day", "st", u]
+        stays = F.expr(f"st = {EXPOSED} AND u < {epidemic.sigma!r}D OR st = {INFECTIOUS} AND u >= {epidemic.gamma!r}D")
+        self.sick = [F.col("id").alias("src"), "day", F.expr(f"IF(st = {INFECTIOUS}, 1L, 0L)").alias("now"), stays.cast("long").alias("next")]
+        self.met = [F.explode("dsts").alias("id"), "day", "now", "next", F.lit(SUSCEPTIBLE).alias("st")]
+        self.ill = ["id", "day", F.lit(0).cast("long").alias("now"), F.lit(0).cast("long").alias("next"), "st"]
+        self.sums = [F.max("day").alias("day"), F.sum("now").alias("now"), F.sum("next").alias("next"), F.max("st").alias("st")]
+        self.dice = ["id", "day", "now", "next", "st", u, v]
+        self.one = ["id", "day", "next", "v", moved(epidemic, "st", "now", "day", "u").alias("one")]
+        self.two = ["id", "day", "one", moved(epidemic, "one", "next", "day + 1", "v").alias("two")]
+
+    def after(self, ill: DataFrame) -> DataFrame:
+        """ill(id, day, st), everyone who isn't susceptible on a day, to (id, day, one, two): their states one and two days after, with
+        those who fell ill meanwhile. Who is exposed isn't infectious on the day after, so who is infectious on both days is known at
+        once. Slots of the infectious and the ill meet in one sum by person."""
+        with wrapping(ill.sparkSession):
+            sick = ill.where(f"st IN ({EXPOSED}, {INFECTIOUS})").select(*self.active).select(*self.sick).where("now + next > 0")
+            both = self.lists.join(sick, "src").select(*self.met).unionAll(ill.select(*self.ill))
+            return both.groupBy("id").agg(*self.sums).select(*self.dice).select(*self.one).select(*self.two).where(f"two <> {SUSCEPTIBLE}")
 
-    def first(since: Column, chance: float) -> Column:
-        throws = F.filter(F.sequence(since, F.greatest(since, F.lit(last))), lambda d: (d < last) & (unit(epidemic.seed, "id", d, 0) < chance))
-        return (F.array_min(throws) + 1).cast("int")
 
-    rows = rows.withColumn("infectious_at", F.coalesce("infectious_at", F.when(F.col("recovered_at").isNull(), first(F.col("exposed_at"), epidemic.sigma))))
-    return rows.withColumn("recovered_at", F.coalesce("recovered_at", F.when(F.col("infectious_at").isNotNull(), first(F.col("infectious_at"), epidemic.gamma))))
-
-
-def courses(adj: DataFrame, state: DataFrame, epidemic: Epidemic) -> DataFrame:
-    """(id, exposed_at, infectious_at, recovered_at) of all who aren't susceptible by the last day, days counted from the given state (0).
+def simulate(adj: DataFrame, state: DataFrame, epidemic: Epidemic) -> DataFrame:
+    """The epidemic's curve: (step, susceptible, exposed, infectious, recovered), days + 1 rows, row 0 the given state.
 
-    Once exposed, a person's course is fixed by the person's own dice, so only exposures spread, and only people who are or were ill are
-    kept: a day's work is the contacts of the infectious, not the whole population. The exposed aren't infectious on the day they
-    are exposed, so who is infectious today and tomorrow is known today: each job advances two days.
+    Only people who are or were ill are kept, and each job advances two days and counts both while it writes the second.
     """
-    spark, kind = state.sparkSession, "id long, exposed_at int, infectious_at int, recovered_at int"
-    at_once = lambda st: F.when(F.col("st") == st, 0).cast("int")
-    with wrapping(spark):
-        begun = _course(state.where(F.col("st") != SUSCEPTIBLE).select("id", at_once(EXPOSED).alias("exposed_at"), at_once(INFECTIOUS).alias("infectious_at"), at_once(RECOVERED).alias("recovered_at")), epidemic)
-    path = f"{shared_dir(spark)}/ripplegraph-tables/courses-{uuid.uuid4().hex}"
-    atexit.register(forget, spark, path)
-    begun.write.parquet(path)
+    spark = state.sparkSession
+    begun = state.agg(*counters()).first()
+    n, rows = sum(begun), [(0, *begun)]
+    lists = neighbours(adj).select("src", "dsts").persist()
+    ill = materialize(state.where(F.col("st") != SUSCEPTIBLE).select("id", F.lit(0).alias("day"), F.col("st").cast("int").alias("st")), "ill")
+    rounds, counts = Rounds(lists, epidemic), [F.expr(f"count_if({when} = {st})").alias(f"{when}{st}") for when in ("one", "two") for st in (EXPOSED, INFECTIOUS, RECOVERED)]
+    later = ["id", F.expr("day + 2").alias("day"), F.col("two").alias("st")]
     for day in range(0, epidemic.days, 2):
-        ill = spark.read.schema(kind).parquet(path)
-        dates = F.filter(F.array(*(F.lit(d) for d in range(day, min(day + 2, epidemic.days)))), lambda d: (F.col("infectious_at") <= d) & F.coalesce(d < F.col("recovered_at"), F.lit(True)))
-        sick = ill.where((F.col("infectious_at") <= day + 1) & F.coalesce(F.col("recovered_at") > day, F.lit(True))).select(F.col("id").alias("src"), F.explode(dates).alias("day"))
-        met = adj.join(sick, "src").groupBy(F.col("dst").alias("id"), "day").agg(F.count("*").alias("k")).join(ill.select("id"), "id", "left_anti")
-        with wrapping(spark):
-            caught = F.exists(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda c: unit(epidemic.seed, "id", "day", c) < epidemic.beta)
-            new = met.where(caught).groupBy("id").agg((F.min("day") + 1).cast("int").alias("exposed_at"))
-            nothing = F.lit(None).cast("int")
-            _course(new.select("id", "exposed_at", nothing.alias("infectious_at"), nothing.alias("recovered_at")), epidemic).write.mode("append").parquet(path)
-    return spark.read.schema(kind).parquet(path)
-
-
-def simulate(adj: DataFrame, state: DataFrame, epidemic: Epidemic) -> DataFrame:
-    """The epidemic's curve: (step, susceptible, exposed, infectious, recovered), days + 1 rows, row 0 the given state."""
-    spark, n = state.sparkSession, state.count()
-    adj = adj.repartition("src").sortWithinPartitions("src").persist()
-    found = courses(adj, state, epidemic)
-    moves = F.array(*(F.struct(F.col(c).alias("day"), F.lit(c).alias("to")) for c in ("exposed_at", "infectious_at", "recovered_at")))
-    # someone who began infectious or recovered has no earlier dates: what one was before follows from those that are there
-    was = F.when(F.col("to") == "infectious_at", F.when(F.col("exposed_at").isNotNull(), EXPOSED).otherwise(SUSCEPTIBLE)).when(F.col("to") == "recovered_at", F.when(F.col("infectious_at").isNotNull(), INFECTIOUS).otherwise(SUSCEPTIBLE)).otherwise(SUSCEPTIBLE)
-    events = found.select("exposed_at", "infectious_at", "recovered_at", F.explode(moves).alias("m")).select("*", "m.*").where(F.col("day") <= epidemic.days)
-    counted = events.groupBy("day", "to", was.alias("was")).agg(F.count("*").alias("n")).collect()  # at most six rows a day
-    adj.unpersist()
-    now, rows = [n, 0, 0, 0], []
-    for day in range(epidemic.days + 1):
-        for r in counted:
-            if r["day"] == day:
-                now[r["was"]] -= r["n"]
-                now[1 + ("exposed_at", "infectious_at", "recovered_at").index(r["to"])] += r["n"]
-        rows.append((day, *now))
+        seen = Observation()
+        last, ill = ill, materialize(rounds.after(ill).observe(seen, *counts).select(*later), "ill")
+        drop(last)
+        for when, at in (("one", day + 1), ("two", day + 2)):
+            if at <= epidemic.days:
+                told = [seen.get[f"{when}{st}"] for st in (EXPOSED, INFECTIOUS, RECOVERED)]
+                rows.append((at, n - sum(told), *told))
+    lists.unpersist()
+    drop(ill)
     return spark.createDataFrame(rows, "step long, susceptible long, exposed long, infectious long, recovered long")

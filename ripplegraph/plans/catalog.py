@@ -80,7 +80,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _unit(spark: SparkSession, sf_dir: str) -> DataFrame:
     with wrapping(spark):
-        return _read(spark, sf_dir, "orders").select("o_orderkey", unit(777, "o_custkey", F.col("o_orderkey") % 120, F.col("o_orderkey") - 3).alias("u"), unit(4294967295, -1, "o_custkey", 2).alias("v"))
+        return _read(spark, sf_dir, "orders").select("o_orderkey", unit(777, "o_custkey", "o_orderkey % 120", "o_orderkey - 3").alias("u"), unit(4294967295, -1, "o_custkey", 2).alias("v"))
 
 
 def _top(t: Town, k: int = 15) -> DataFrame:
