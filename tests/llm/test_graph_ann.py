@@ -62,6 +62,25 @@ def test_edge_vectors_and_ties(spark):
     assert got[320] == [(321, 5.0)]
 
 
+def test_a_vec_id_with_several_vectors_and_large_numbers(spark):
+    data = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), *((1, [1.0 + i / 64, 0.0]) for i in range(200)), (2, [0.5, 0.25]), (3, [0.0, 0.5])]
+    assert answers(G.search(frame(spark, data))) == {20: [(1, 1.0 + 199 / 64), (2, 0.5), (3, 0.5)]}
+    wide = spark.createDataFrame([(0, [1e200, 0.0]), (1, [1e50, 3e40]), (2, [5e50, -1e200])], "vec_id long, embedding array<double>")
+    assert [i for i, _ in answers(G.search(wide))[0]] == [2, 1]
+
+
+def test_the_query_walks_a_part_of_its_shard(spark, write):
+    rnd = np.random.default_rng(3)
+    data = [(i, v) for i, v in enumerate((rnd.standard_normal((40, 16))[rnd.integers(40, size=9000)] + 0.3 * rnd.standard_normal((9000, 16))).astype(np.float32))]
+    got, want = answers(G.op9_graph_ann(spark, write(embeddings=frame(spark, data)))), brute(data)
+    assert set(got) == set(want) and recall(got, want) >= 0.95
+    points = G.lifted(np.array([v for _, v in data], np.float64))
+    graph, start = G.build(points)
+    assert (graph < len(points)).sum(1).max() <= G.DEGREE * G.SLACK
+    _, _, worked = G.beam_search(points, (points**2).sum(1), graph, start, points[:100], G.BEAM)
+    assert worked < 0.25 * 100 * len(points)
+
+
 def test_few_and_none(spark):
     assert G.search(frame(spark, [])).count() == 0
     assert G.search(frame(spark, [(0, [1.0, 2.0])])).count() == 0
@@ -70,5 +89,5 @@ def test_few_and_none(spark):
 
 def test_pruning_keeps_the_nearest_and_drops_the_shadowed():
     points = np.array([[0, 0], [1, 0], [1.1, 0], [0, 2], [5, 5]], np.float32)
-    kept = G.robust_prune(points, np.array([0]), np.array([[4, 2, 1, 1, 3, 0, -1]]), 3, 1.2)[0].tolist()
+    kept = G.robust_prune(points, np.array([0]), np.array([[4, 2, 1, 1, 3, 0, 5]]), 3, 1.2)[0].tolist()
     assert kept[:2] == [1, 3] and 2 not in kept
