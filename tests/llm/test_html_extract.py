@@ -1,3 +1,6 @@
+import random
+import time
+
 from ripplegraph.llm import html_extract as H
 
 
@@ -119,3 +122,57 @@ def test_template_text_within_articles_goes(spark):
         assert got[i] == f"Title {i}\nStory {i} is told here." + ("\nIt goes on." if i % 3 == 0 else "")
     assert {got[100 + i] for i in range(40)} == {"Title 50\nStory 50 is told here."}
     assert got[200] == "Tell your friends about us."
+
+
+def test_the_template_decides_where_no_element_is_named(spark):
+    """Pages of the same layout without article, main, nav, class or id: the article is the slot with most of the varying text."""
+    page = "<html><body><div><a href=x>Home</a> <a href=y>News</a></div><div>Buy {ad}!</div><div><h1>Title {i}</h1>{story}<div>Like this? Tell your friends.</div></div><div>Written {ad} by the staff</div></body></html>"
+    story = lambda i: "".join(f"<p>Story {i} goes on in part {j} with many words.</p>" for j in range(2 + i % 3))
+    data = [(i, f"http://n.org/{i}", page.format(i=i, ad=f"item{i}", story=story(i))) for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in H.extract(frame(spark, data)).collect()}
+    for i in range(20):
+        assert got[i] == "\n".join([f"Title {i}", *(f"Story {i} goes on in part {j} with many words." for j in range(2 + i % 3))])
+    alone = H.main_text(H.read_page(data[0][2]), set())
+    assert "Buy item0!" in alone and "Like this?" in alone  # without a template nothing tells them
+
+
+def test_the_query_equals_a_plain_reading(spark, write):
+    """Classes from whole occurrence vectors in one process, then the same laying and choosing page by page."""
+    rnd = random.Random(3)
+    layout = "<html><body><ul><li>Menu</li><li>About</li></ul><div>{0}</div><section>{1}<p>Share it</p></section><footer>foot {2}</footer></body></html>"
+    data = [(i, f"http://{'ab'[i % 2]}.org/{i // 2}", layout.format(rnd.choice("xyz"), "".join(f"<p>{' '.join(rnd.choices(['red', 'green', 'blue', 'sky'], k=9))}</p>" for _ in range(rnd.randrange(1, 5))), i)) for i in range(40)]
+    want = {}
+    for host in "ab":
+        own = [(i, h) for i, u, h in data if u.startswith(f"http://{host}.")]
+        pages = [H.read_page(h) for _, h in own]
+        vectors, chars, around = {}, {}, {}
+        for k, p in enumerate(pages):
+            for t, _ in p.tokens:
+                vectors.setdefault(t, [0] * len(own))[k] += 1
+            for t, (box, c, main) in H._measured(p).items():
+                chars[t], around[t] = chars.get(t, 0) + c, (box, main)
+        groups = {}
+        for t, v in vectors.items():
+            if max(v) == 1 and sum(v) >= H.MIN_SHARE * len(own):
+                groups.setdefault(tuple(v), []).append(t)
+        groups = sorted((-sum(v), sorted(H._signed(t) for t in g)) for v, g in groups.items() if len(g) > 1 and any(t & 1 for t in g))
+        region = H.main_box([(t & H.MASK, around[t & H.MASK][0], chars[t & H.MASK], around[t & H.MASK][1]) for _, g in groups for t in g if t & H.MASK in chars])
+        assert region
+        for i, h in own:
+            page = H.read_page(h, region)
+            want[i] = H.main_text(page, H.nested_template(page, [[t & H.MASK for t in g] for _, g in groups]))
+    got = {r["page_id"]: r["text"] for r in H.op7_html_extract(spark, write(pages=frame(spark, data))).collect()}
+    assert got == want and not any("Share it" in t or "Menu" in t for t in got.values())
+
+
+def test_broken_markup_takes_linear_time():
+    began = time.perf_counter()
+    n = 60_000
+    for page in ("<a '" * (4 * n), '<a ="' * (4 * n), "<a " * (4 * n), "<span>" * n + "</b>" * n, "<b>" * n + "<div>" + "<i>" * n + "</b>" * n, "<li><span>" * n, "<script" * n, "</script " * n, "<!--" * n, "<div>" * n + "<p>x", "&amp" * n, "<td>" * n, "<!x" * n):
+        H.read_page(page)
+    assert time.perf_counter() - began < 60
+
+
+def test_references_stay_within_their_run():
+    assert text("<p>AT&<b>amp;</b> &lt;i&gt;</p>") == "AT&amp; <i>"
+    assert text("<article><p>x <math><mi>y</mi></math> z</p></article>") == "x y z"
