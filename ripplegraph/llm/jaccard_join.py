@@ -11,8 +11,8 @@
    its sets are near copies or share a passage: all are compared to a few pivots. A set within 0.15 of a pivot is done
    (whoever is within 0.2 of it is within 0.35 of the pivot, and is tied to it), the others are compared in pairs of blocks.
 4. These comparisons only tie together groups of candidates; the groups are components of the ties, never all pairs.
-5. Within each group all sets are compared exactly, once, on full 64-bit shingles. Groups of more than GROUP shingles are dealt
-   into blocks and each pair of blocks is a task's work of bounded size; it gives back the number of links of each set and
+5. Within each group all sets are compared exactly, once, on full 64-bit shingles. Groups of more than ROWS sets (into SPREAD
+   blocks at most) or of more than GROUP shingles (into as many as it takes) are dealt into blocks and each pair of blocks is a task's work of bounded size; it gives back the number of links of each set and
    a spanning forest of its links, not the pairs. Components of the forests are the result's classes.
 
 Result: (doc_id, class_id, n_links): class_id is the least doc_id among documents tied by links or equality; n_links counts
@@ -46,7 +46,7 @@ SPLITS, SPLIT_SIZE = 32, 6
 BUCKET = 512
 PIVOTS = 4
 NEAR, TIED, TIGHT = 0.68, 0.55, 0.85
-GROUP = 300_000
+GROUP, ROWS, SPREAD = 300_000, 128, 16
 U = np.uint64
 
 
@@ -337,7 +337,7 @@ def join(documents: DataFrame) -> DataFrame:
     del ties, made, parts
     sweep(documents.sparkSession)
     wanted = groups.join(classes.select("cid", "doc_id", "copies", "n"), "cid")
-    blocks = wanted.groupBy("grp").agg(F.ceil(F.sum("n") / GROUP).cast("int").alias("blocks"))
+    blocks = wanted.groupBy("grp").agg(F.greatest(F.ceil(F.sum("n") / GROUP), F.least(F.ceil(F.count("*") / ROWS), F.lit(SPREAD))).cast("int").alias("blocks"))
     wanted = wanted.join(blocks, "grp").select("doc_id", "cid", "grp", "copies", "blocks")
     sets = documents.join(wanted, "doc_id").select("text", "cid", "grp", "copies", "blocks").mapInArrow(_rehashed, "cid long, grp long, copies long, blocks int, shingles binary")
     sets = sets.withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
