@@ -21,6 +21,8 @@ from ripplegraph.plans import scheduler
 from ripplegraph.sources import generators, tables
 
 SIZES = {"simulate": 10_000, "response": 20_000, "schedule": 50_000, "borders": 100_000, "tasks": 500_000, "degrees": 500_000, "timings": 0}
+#: What the programs do unless told otherwise, where that isn't 120 days on the scale-free network with seed 12345.
+DEFAULTS = {"tasks": {"days": 60, "network": "smallworld", "seed": 777}, "degrees": {"seed": 777}}
 
 
 def network(spark: SparkSession, kind: str, n: int, seed: int) -> DataFrame:
@@ -56,15 +58,18 @@ def main(args: list[str] | None = None) -> DataFrame:
     p = argparse.ArgumentParser(prog="ripplegraph", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     p.add_argument("program", choices=SIZES)
     p.add_argument("--people", type=int)
-    p.add_argument("--network", default="scalefree", choices=("smallworld", "scalefree", "smallworld-keyed", "scalefree-keyed"))
-    p.add_argument("--seed", type=int, default=12345)
-    p.add_argument("--days", type=int, default=120)
+    p.add_argument("--network", choices=("smallworld", "scalefree", "smallworld-keyed", "scalefree-keyed"))
+    p.add_argument("--seed", type=int)
+    p.add_argument("--days", type=int)
     p.add_argument("--parts", type=int, default=8)
     p.add_argument("--file", default="timings.csv")
     p.add_argument("--failure", action="store_true")
-    p.add_argument("--timeout", type=float, default=600.0)
+    p.add_argument("--timeout", type=float, default=30.0)
     p.add_argument("--out")
     a = p.parse_args(args)
+    for name, value in ({"days": 120, "network": "scalefree", "seed": 12345} | DEFAULTS.get(a.program, {})).items():
+        if getattr(a, name) is None:
+            setattr(a, name, value)
     spark, n = SparkSession.builder.getOrCreate(), a.people or SIZES[a.program]
     e = seir.Epidemic(seed=a.seed, days=a.days)
     people = spark.range(n)
@@ -92,7 +97,7 @@ def main(args: list[str] | None = None) -> DataFrame:
             days = seir.Days(start)
             for day in range(a.days):
                 days.move(seir.step(adj, days.now, e, day), day + 1)
-            out = task_times(people, adj, days.now, n, e, a.days)
+            out = task_times(people, adj, days.now, n, e, a.days + 1)
         else:
             degrees = graph.degree(people, adj)
             graph.degree_summary(degrees).show()

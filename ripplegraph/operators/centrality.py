@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ripplegraph.functions.running import running_sum
 from ripplegraph.operators.graph import neighbours
 from ripplegraph.operators.seir import RECOVERED, SUSCEPTIBLE
 from ripplegraph.runtime import drop, materialize
@@ -40,10 +40,11 @@ def pagerank(people: DataFrame, adj: DataFrame, rounds: int = 20) -> DataFrame:
 
 
 def top_targets(scores: DataFrame, state: DataFrame, n: int, k: int) -> DataFrame:
-    """(rank, id, score): the k susceptible people with the largest score * n (rounded to six places), ties to the smaller id."""
+    """(rank, id, score): the k susceptible people with the largest score * n (rounded to six places), ties to the smaller id. Numbered by
+    ranges, as k may be a share of all people."""
     able = scores.join(state.where(F.col("st") == SUSCEPTIBLE).select("id"), "id", "left_semi")
-    best = able.select("id", F.round(F.col("score") * n, 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
-    return best.select(F.row_number().over(W.orderBy(F.desc("score"), "id")).alias("rank"), "id", "score")  # k rows
+    able = able.select("id", F.round(F.col("score") * n, 6).alias("score"), F.lit(1).alias("one")).withColumn("less", -F.col("score"))
+    return running_sum(able, "one", ["less", "id"], "rank").where(F.col("rank") <= k).select(F.col("rank").cast("int").alias("rank"), "id", "score")
 
 
 def vaccinate(state: DataFrame, targets: DataFrame) -> DataFrame:

@@ -75,26 +75,31 @@ def block_owner(node: Column, parts: int, people: int) -> Column:
     return ((scaled - F.pmod(scaled, F.lit(people).cast("long"))) / people).cast("int")  # exact, where a plain quotient of longs may round
 
 
-def cut_edges(adj: DataFrame, parts: int, people: int) -> DataFrame:
-    """Slots (src, dst, src_owner, dst_owner) that cross between blocks. Owners follow from the ids, so nothing is shuffled."""
-    owned = adj.select("src", "dst", block_owner(F.col("src"), parts, people).alias("src_owner"), block_owner(F.col("dst"), parts, people).alias("dst_owner"))
+def cut_edges(adj: DataFrame, parts: int, people: int, owners: DataFrame | None = None) -> DataFrame:
+    """Slots (src, dst, src_owner, dst_owner) that cross between owners: contiguous blocks, which follow from the ids so that nothing is
+    shuffled, or any assignment owners(id, owner), a row for each node."""
+    if owners is None:
+        owned = adj.select("src", "dst", block_owner(F.col("src"), parts, people).alias("src_owner"), block_owner(F.col("dst"), parts, people).alias("dst_owner"))
+    else:
+        of = lambda end: owners.select(F.col("id").alias(end), F.col("owner").alias(f"{end}_owner"))
+        owned = adj.select("src", "dst").join(of("src"), "src").join(of("dst"), "dst").select("src", "dst", "src_owner", "dst_owner")
     return owned.where("src_owner <> dst_owner")
 
 
-def halo(adj: DataFrame, parts: int, people: int) -> DataFrame:
-    """(owner, neighbour, ghosts): how many people of `neighbour` the block `owner` has to know, by at least one of its own."""
-    ghosts = cut_edges(adj, parts, people).select(F.col("dst_owner").alias("owner"), F.col("src_owner").alias("neighbour"), "src").distinct()
+def halo(adj: DataFrame, parts: int, people: int, owners: DataFrame | None = None) -> DataFrame:
+    """(owner, neighbour, ghosts): how many people of `neighbour` the owner `owner` has to know, by at least one of its own."""
+    ghosts = cut_edges(adj, parts, people, owners).select(F.col("dst_owner").alias("owner"), F.col("src_owner").alias("neighbour"), "src").distinct()
     return ghosts.groupBy("owner", "neighbour").agg(F.count("*").alias("ghosts"))
 
 
-def border(adj: DataFrame, parts: int, people: int) -> DataFrame:
+def border(adj: DataFrame, parts: int, people: int, owners: DataFrame | None = None) -> DataFrame:
     """(owner, neighbour, people): how many of `owner`'s people have to be sent to `neighbour`."""
-    return halo(adj, parts, people).select(F.col("neighbour").alias("owner"), F.col("owner").alias("neighbour"), F.col("ghosts").alias("people"))
+    return halo(adj, parts, people, owners).select(F.col("neighbour").alias("owner"), F.col("owner").alias("neighbour"), F.col("ghosts").alias("people"))
 
 
-def halo_summary(adj: DataFrame, parts: int, people: int) -> DataFrame:
+def halo_summary(adj: DataFrame, parts: int, people: int, owners: DataFrame | None = None) -> DataFrame:
     """One row: all ghosts, as a share of the people in percent, and whole KB a day at four bytes each."""
-    total = halo(adj, parts, people).agg(F.coalesce(F.sum("ghosts"), F.lit(0)).alias("ghosts"))
+    total = halo(adj, parts, people, owners).agg(F.coalesce(F.sum("ghosts"), F.lit(0)).alias("ghosts"))
     return total.select("ghosts", F.round(100.0 * F.col("ghosts") / max(people, 1), 6).alias("percent"), F.expr("ghosts * 4 div 1024").alias("kb_per_day"))
 
 

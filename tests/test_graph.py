@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from ripplegraph.operators import graph
 
 
@@ -41,3 +43,13 @@ def test_empty(spark):
     adj = graph.adjacency(edges(spark, []))
     assert graph.halo(adj, 4, 10).count() == 0
     assert {r["degree"] for r in graph.degree(people(spark, 3), adj).collect()} == {0}
+
+
+def test_any_assignment_of_owners(spark):
+    n, parts = 60, 4
+    adj = graph.adjacency(spark.createDataFrame([(i, (7 * i + 3) % n) for i in range(n)], "a long, b long"))
+    blocks = spark.range(n).select("id", graph.block_owner(F.col("id"), parts, n).alias("owner"))
+    for f in (graph.cut_edges, graph.halo, graph.border, graph.halo_summary):
+        assert sorted(map(tuple, f(adj, parts, n, blocks).collect())) == sorted(map(tuple, f(adj, parts, n).collect()))
+    odd = spark.range(n).select("id", (F.col("id") % 2).cast("int").alias("owner"))
+    assert all(a % 2 != b % 2 for a, b, *_ in graph.cut_edges(adj, parts, n, odd).collect())
