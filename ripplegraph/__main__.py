@@ -1,12 +1,13 @@
-"""Command line: python -m ripplegraph <program> [options]. Each program prints its result and, with --out, writes it as CSV.
+"""Command line: python -m ripplegraph <program> [options]. Each program prints its result and, with --out, writes it as CSV under the
+published headers of its kind.
 
 simulate      an epidemic's curve
 response      the daily response's log
-schedule      concurrent analyses of each day (with --failure: one run of a job stays silent)
+schedule      concurrent analyses of each day (with --failure: one run of a job stays silent; with --timeline: who was at work when)
 borders       ghosts between blocks of people
 tasks         the four tasks' answers and times on the state after some days
 degrees       degree histogram and summary
-timings       the timing report over a CSV file
+timings       the timing report over a CSV file, networks in the order in which they turn up
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from ripplegraph.plans import scheduler
 from ripplegraph.sources import generators, tables
 
 SIZES = {"simulate": 10_000, "response": 20_000, "schedule": 50_000, "borders": 100_000, "tasks": 500_000, "degrees": 500_000, "timings": 0}
+#: The files that the programs write.
+KINDS = {"simulate": "curve", "response": "response", "tasks": "tasks", "degrees": "degrees"}
 #: What the programs do unless told otherwise, where that isn't 120 days on the scale-free network with seed 12345.
 DEFAULTS = {"tasks": {"days": 60, "network": "smallworld", "seed": 777}, "degrees": {"seed": 777}}
 
@@ -32,7 +35,7 @@ def network(spark: SparkSession, kind: str, n: int, seed: int) -> DataFrame:
 
 
 def task_times(people: DataFrame, adj: DataFrame, state: DataFrame, n: int, e: seir.Epidemic, day: int) -> DataFrame:
-    """(task, seconds, answer) of spread, tracing, targeting and clustering on one state."""
+    """(task, threads, seconds, answer) of spread, tracing, targeting and clustering on one state."""
 
     def spread() -> int:
         return seir.step(adj, state, e, day).agg({"st": "sum"}).first()[0]
@@ -46,12 +49,12 @@ def task_times(people: DataFrame, adj: DataFrame, state: DataFrame, n: int, e: s
         found = clusters.cluster_summary(clusters.cluster_members(adj, state)).first()
         return found["clusters"] * 1_000_000 + found["largest"]
 
-    rows = []
-    for name, run in (("A", spread), ("B", lambda: tracing.trace(adj, tracing.infectious(state)).first()["contacts_traced"]), ("C", target), ("D", cluster)):
+    threads, rows = tables.hardware(state.sparkSession)[0], []
+    for name, run in (("A spread", spread), ("B tracing", lambda: tracing.trace(adj, tracing.infectious(state)).first()["contacts_traced"]), ("C targeting", target), ("D clustering", cluster)):
         began = time.perf_counter()
         answer = run()
-        rows.append((name, time.perf_counter() - began, answer))
-    return state.sparkSession.createDataFrame(rows, "task string, seconds double, answer long")
+        rows.append((name, threads, time.perf_counter() - began, answer))
+    return state.sparkSession.createDataFrame(rows, "task string, threads int, seconds double, answer long")
 
 
 def main(args: list[str] | None = None) -> DataFrame:
@@ -66,6 +69,7 @@ def main(args: list[str] | None = None) -> DataFrame:
     p.add_argument("--failure", action="store_true")
     p.add_argument("--timeout", type=float, default=30.0)
     p.add_argument("--out")
+    p.add_argument("--timeline")
     a = p.parse_args(args)
     for name, value in ({"days": 120, "network": "scalefree", "seed": 12345} | DEFAULTS.get(a.program, {})).items():
         if getattr(a, name) is None:
@@ -74,7 +78,9 @@ def main(args: list[str] | None = None) -> DataFrame:
     e = seir.Epidemic(seed=a.seed, days=a.days)
     people = spark.range(n)
     if a.program == "timings":
-        out = scaling.timing_report(tables.read_timings(spark, a.file))
+        runs = tables.read_timings(spark, a.file)
+        groups = scaling.timing_groups(runs).select("place", "people", "network")
+        out = scaling.timing_report(runs).join(groups, ["people", "network"]).orderBy("place", "label", "processes", "threads").drop("place")
     else:
         adj = network(spark, a.network, n, a.seed).persist()
         start = seir.seed_infected(people, n, e)
@@ -90,7 +96,9 @@ def main(args: list[str] | None = None) -> DataFrame:
                     silent.append(job.task_id)
                     time.sleep(2 * a.timeout)
 
-            out = scheduler.run_pipeline(people, adj, start, e, timeout=a.timeout, fault=fault)
+            out, timeline = scheduler.timed_pipeline(people, adj, start, e, timeout=a.timeout, fault=fault)
+            if a.timeline:
+                tables.write_table(tables.published(timeline, "timeline"), a.timeline, one_file=True)
         elif a.program == "borders":
             out = graph.halo(adj, a.parts, n)
         elif a.program == "tasks":
@@ -104,7 +112,7 @@ def main(args: list[str] | None = None) -> DataFrame:
             out = graph.degree_histogram(degrees).orderBy("degree")
     out.show(200, truncate=False)
     if a.out:
-        tables.write_table(out, a.out, one_file=True)
+        tables.write_table(tables.published(out, KINDS[a.program]) if a.program in KINDS else out, a.out, one_file=True)
     return out
 
 

@@ -54,6 +54,19 @@ def timing_report(timings: DataFrame) -> DataFrame:
     )
 
 
+def timing_groups(timings: DataFrame) -> DataFrame:
+    """(place, people, network, configurations): the report's groups, numbered from 1 in the order in which they first turn up."""
+    groups = timings.groupBy("people", "network").agg(F.min("seq").alias("first"), F.countDistinct("label", "processes", "threads").alias("configurations"))
+    place = F.row_number().over(W.orderBy("first"))  # as many rows as sizes and kinds of networks
+    return groups.select(place.alias("place"), "people", "network", "configurations")
+
+
+def mean_runs(runs: DataFrame) -> DataFrame:
+    """runs(processes, threads, seconds): per configuration the number of runs, their mean, median, least and most. Null times aren't runs."""
+    one = runs.where("seconds IS NOT NULL").groupBy("processes", "threads")
+    return one.agg(F.count("*").alias("runs"), F.round(F.avg("seconds"), 6).alias("mean_seconds"), F.round(F.median("seconds"), 6).alias("median_seconds"), F.min("seconds").alias("least"), F.max("seconds").alias("most"))
+
+
 def grid_medians(runs: DataFrame) -> DataFrame:
     """runs(processes, threads, seconds, comm): per configuration median, least, most, spread in percent, speed-up over the 1x1 median and
     median comm."""
@@ -154,6 +167,20 @@ def strong_scaling(grid: DataFrame) -> DataFrame:
     return rows.select("series", "workers", "speedup", F.round(F.col("speedup") / F.col("workers"), 6).alias("efficiency"))
 
 
+def combined_modes(grid: DataFrame) -> DataFrame:
+    """grid_medians as the published table of modes, by workers and then processes: seconds to five places, speed-up to two, comm to none."""
+    mode = F.when(F.col("approach") == "sequential", "sequential").otherwise("hybrid")
+    rows = grid.orderBy("workers", "processes")
+    return rows.select(mode.alias("mode"), "processes", "threads", F.round("median_seconds", 5).alias("seconds"), F.round("speedup", 2).alias("speedup"), F.round("comm").alias("comm"))
+
+
+def compare_machines(here: DataFrame, there: DataFrame) -> DataFrame:
+    """Two machines' grid_medians to (series, workers, here, there, lead): the speed-ups of each along threads and along processes, and
+    here's over there's; null where a machine has no such run."""
+    one, other = (strong_scaling(g).select("series", "workers", F.col("speedup").alias(name)) for g, name in ((here, "here"), (there, "there")))
+    return one.join(other, ["series", "workers"], "full").select("series", "workers", "here", "there", ratio(F.col("here"), F.col("there"), None).alias("lead"))
+
+
 def weak_scaling(runs: DataFrame) -> DataFrame:
     """runs(workers, people, seconds): efficiency is the time of the fewest workers over the row's time."""
     first = F.first("seconds").over(W.orderBy("workers").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))  # as many rows as worker counts
@@ -167,14 +194,18 @@ def rank_loads(ranks: DataFrame) -> DataFrame:
     return one.select("elapsed", "compute", "comm", ratio(F.col("compute"), F.col("mean"), 1.0).alias("imbalance"), ratio(F.col("comm"), F.col("compute") + F.col("comm")).alias("comm_share"))
 
 
+def rank_totals(ranks: DataFrame) -> DataFrame:
+    """ranks(rank, compute, comm, border, ghosts) to one row of sums over all ranks, 0 without any."""
+    return ranks.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("compute", "comm", "border", "ghosts")))
+
+
 def timeline_overlap(timeline: DataFrame) -> DataFrame:
     """timeline(task, start, stop) to one row: the most different tasks at work at once, and when that was first so. Ends come before starts
-    at the same time; tasks of one kind may overlap themselves."""
-    events = timeline.select("task", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("change")), F.struct(F.col("stop").alias("at"), F.lit(-1).alias("change")))).alias("e")).select("task", "e.*")
+    at the same time; tasks of one kind may overlap themselves. Rows without a start or a stop don't count."""
+    events = timeline.where("start IS NOT NULL AND stop IS NOT NULL").select("task", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("change")), F.struct(F.col("stop").alias("at"), F.lit(-1).alias("change")))).alias("e")).select("task", "e.*")
     moves = events.groupBy("task", "at", "change").agg(F.sum("change").alias("step"))
-    mine = W.partitionBy("task").orderBy("at", "change").rowsBetween(W.unboundedPreceding, 0)
-    live = moves.withColumn("now", F.sum("step").over(mine))
-    was = F.coalesce(F.lag("now").over(W.partitionBy("task").orderBy("at", "change")), F.lit(0))
-    turns = live.withColumn("turn", (F.col("now") > 0).cast("int") - (was > 0).cast("int")).where("turn <> 0")
+    # a task's changes add up to none, so the sum over all tasks before is that of the task's own
+    live = running_sum(moves, "step", ["task", "at", "change"], "now")
+    turns = live.withColumn("turn", (F.col("now") > 0).cast("int") - (F.col("now") > F.col("step")).cast("int")).where("turn <> 0")
     turns = running_sum(turns.select("at", "change", "task", "turn"), "turn", ["at", "change", "task"], "active")
     return turns.agg(F.coalesce(F.max("active"), F.lit(0)).cast("long").alias("most"), F.min_by("at", F.struct(-F.col("active"), "at")).alias("first_at"))

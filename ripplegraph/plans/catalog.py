@@ -122,6 +122,19 @@ def _loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaling.rank_loads(ranks)
 
 
+def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Town(spark, sf_dir)
+    ghosts = graph.halo(t.adj, PARTS, t.n).groupBy(F.col("owner").alias("rank")).agg(F.sum("ghosts").alias("ghosts"))
+    border = graph.border(t.adj, PARTS, t.n).groupBy(F.col("owner").alias("rank")).agg(F.sum("people").alias("border"))
+    work = t.people.groupBy(graph.block_owner(F.col("id"), PARTS, t.n).alias("rank")).agg(F.count("*").alias("compute"))
+    return scaling.rank_totals(work.join(ghosts, "rank", "left").join(border, "rank", "left").withColumn("comm", F.col("ghosts")))
+
+
+def _machines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = _runs(spark, sf_dir)
+    return scaling.compare_machines(*(scaling.grid_medians(runs.where(f"people = {n}")) for n in (100000, 200000)))
+
+
 def _effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Town(spark, sf_dir)
     plan = response.Response(every=2, vaccines=20)
@@ -183,6 +196,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "strong_scaling": lambda s, d: scaling.strong_scaling(scaling.grid_medians(_runs(s, d))),
         "weak_scaling": _weak,
         "rank_loads": _loads,
+        "rank_totals": _totals,
+        "timing_groups": lambda s, d: scaling.timing_groups(timings(s, d)),
+        "mean_runs": lambda s, d: scaling.mean_runs(timings(s, d)),
+        "combined_modes": lambda s, d: scaling.combined_modes(scaling.grid_medians(_runs(s, d))),
+        "compare_machines": _machines,
         "timeline_overlap": lambda s, d: scaling.timeline_overlap(_timeline(s, d)),
         "scheduled_pipeline": _town(lambda t: scheduler.run_pipeline(t.people, t.adj, t.state, EPIDEMIC.over(3), every=2, vaccines=20).select("task_id", "task", "step", "status", "value1", "value2")),
     }
@@ -241,6 +259,13 @@ def oracle_sql() -> dict[str, str]:
         "intervention_effect": f"SELECT (SELECT recovered FROM ({o.states(3)} SELECT count(*) FILTER (WHERE st = 3) AS recovered FROM s3)) AS caught_without, max(recovered) FILTER (WHERE step = 3) - sum(vaccinated)::BIGINT AS caught_with, sum(vaccinated)::BIGINT AS vaccinated FROM ({o.response(3, 2, 20)})",
         "task_checks": f"{ranked}, {top}, one AS ({o.next_state('0', 'SELECT * FROM twelfth')})" + o.trace("SELECT id FROM twelfth WHERE st = 2") + o.clusters("SELECT * FROM twelfth") + " SELECT 'spread' AS task, sum(st)::BIGINT AS value FROM one UNION ALL SELECT 'trace', (SELECT count(*) FROM hop1) + (SELECT count(*) FROM hop2) UNION ALL SELECT 'target', count(*) * 1000 + min(id) FILTER (WHERE rank = 1) FROM top WHERE rank <= (SELECT count(*) FROM people) // 100 UNION ALL SELECT 'cluster', clusters * 1000000 + largest FROM (SELECT " + o.CLUSTERED.format("", "largest") + ")",
         "small_world": o.small_world(3000, 777),
+        "copy_model": o.copy_model(2000, 3, 777),
+        "scheduled_pipeline": o.scheduled(3, 2, 20),
+        "rank_totals": f"{base}, {o.GHOSTS} SELECT (SELECT count(*) FROM people) AS compute, count(*) AS comm, count(*) AS border, count(*) AS ghosts FROM ghosts",
+        "timing_groups": f"{times}g AS (SELECT people, network, min(seq) AS first, count(DISTINCT (label, processes, threads)) AS configurations FROM timings GROUP BY ALL) SELECT row_number() OVER (ORDER BY first)::INT AS place, people, network, configurations FROM g",
+        "mean_runs": f"{times}m AS (SELECT processes, threads, count(seconds) AS runs, round(avg(seconds), 6) AS mean_seconds, round(median(seconds), 6) AS median_seconds, min(seconds) AS least, max(seconds) AS most FROM timings GROUP BY ALL) SELECT * FROM m",
+        "combined_modes": f"{times}{o.GRID} SELECT CASE WHEN approach = 'sequential' THEN approach ELSE 'hybrid' END AS mode, processes, threads, round(median_seconds, 5) AS seconds, round(speedup, 2) AS speedup, round(comm) AS comm FROM grid",
+        "compare_machines": o.machines(),
         "timing_best": f"{times}{o.BEST} SELECT * FROM best",
         "timing_report": f"{times}{o.BEST}, b AS (SELECT *, min(CASE WHEN processes = 1 AND threads = 1 THEN seconds END) OVER (PARTITION BY people, network) AS baseline FROM best) SELECT label, processes, threads, people, network, seconds, round(baseline / seconds, 6) AS speedup, round(baseline / seconds / (processes * threads), 6) AS efficiency, round(100.0 * comm_seconds / seconds, 6) AS comm_percent, imbalance FROM b",
         "grid_medians": f"{times}{o.GRID} SELECT * FROM grid",

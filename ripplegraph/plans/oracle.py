@@ -116,3 +116,39 @@ def response(days: int, every: int, vaccines: int) -> str:
         number = ", ".join(f"(SELECT count(*) FROM s{d + 1} WHERE st = {i}) AS {name}" for i, name in enumerate(("susceptible", "exposed", "infectious", "recovered")))
         rows.append(f"SELECT {d + 1}::BIGINT AS step, {number}, {TRACED.format(f'_{d}').replace('source_count', 'newly_infected')}, {CLUSTERED.format(f'_{d}', 'largest_cluster')}, {f'(SELECT count(*) FROM t{d})' if d % every == 0 else '0::BIGINT'} AS vaccinated")
     return text + " " + " UNION ALL ".join(rows)
+
+
+def copy_model(n: int, m: int, seed: int) -> str:
+    """Each end followed to the person it names, copy by copy."""
+    return f"""WITH RECURSIVE ends AS (SELECT e, floor({unit(str(seed), "e", "0", "0")} * 2 * (e // {m} * {m}))::BIGINT AS pick FROM range({m}, {n * m}) t(e)),
+      walk AS (SELECT e, pick FROM ends UNION ALL SELECT walk.e, ends.pick FROM walk JOIN ends ON ends.e = walk.pick // 2 WHERE walk.pick % 2 = 1),
+      known AS (SELECT e // {m} AS a, CASE WHEN pick % 2 = 0 THEN pick // {2 * m} ELSE 0 END AS b FROM walk WHERE pick % 2 = 0 OR pick // 2 < {m})
+    SELECT a, b FROM known WHERE a <> b"""
+
+
+def scheduled(days: int, every: int, vaccines: int) -> str:
+    """The scheduler's answers: s<d> is the state before day d, m<d> after its spread, t<d> whom to vaccinate before the next day."""
+    text = "WITH RECURSIVE " + ", ".join([ADJ, PEOPLE, SICK, "s0 AS MATERIALIZED (SELECT id, st FROM state)"]) + pagerank()
+    rows, number = [], 0
+    for d in range(days):
+        text += f", m{d} AS MATERIALIZED ({next_state(str(d), f'SELECT * FROM s{d}')})"
+        text += trace(f"SELECT id FROM m{d} WHERE st = 2", f"_{d}") + clusters(f"SELECT * FROM m{d}", f"_{d}")
+        jobs = [("B", f"(SELECT count(*) FROM src_{d}), (SELECT count(*) FROM hop1_{d}) + (SELECT count(*) FROM hop2_{d})"), ("D", CLUSTERED.format(f"_{d}", "largest").replace(" AS clusters", "").replace(" AS largest", ""))]
+        after = f"SELECT id, st FROM m{d}"
+        if d % every == 0:
+            text += f", t{d} AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY round(score * (SELECT count(*) FROM people), 6) DESC, id) AS k FROM r20 JOIN m{d} USING (id) WHERE st = 0 QUALIFY k <= {vaccines})"
+            jobs.append(("C", f"(SELECT count(*) FROM t{d}), coalesce((SELECT id FROM t{d} WHERE k = 1), -1)"))
+            after = f"SELECT id, CASE WHEN id IN (SELECT id FROM t{d}) THEN 3 ELSE st END AS st FROM m{d}"
+        text += f", s{d + 1} AS MATERIALIZED ({after})"
+        for task, values in jobs:
+            rows.append(f"SELECT {number}::BIGINT, '{task}', {d}::INT, 'COMPLETED', {values}")
+            number += 1
+    return f"{text}, jobs(task_id, task, step, status, value1, value2) AS ({' UNION ALL '.join(rows)}) SELECT * FROM jobs"
+
+
+def machines() -> str:
+    """Speed-ups of the runs with 100,000 people beside those with 200,000."""
+    side = """SELECT series, m.processes * m.threads AS workers, round(b.m / m.m, 6) AS speedup FROM med m JOIN med b ON b.people = m.people AND b.processes = 1 AND b.threads = 1,
+      (VALUES ('processes'), ('threads')) v(series) WHERE m.people = {} AND CASE series WHEN 'processes' THEN m.threads ELSE m.processes END = 1"""
+    return f"""WITH {TIMINGS}, med AS (SELECT people, processes, threads, median(seconds) AS m FROM timings GROUP BY ALL), x AS ({side.format(100000)}), y AS ({side.format(200000)})
+    SELECT series, workers, x.speedup AS here, y.speedup AS there, round(x.speedup / y.speedup, 6) AS lead FROM x FULL JOIN y USING (series, workers)"""

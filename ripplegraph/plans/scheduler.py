@@ -2,16 +2,19 @@
 
 The driver spreads the disease day by day and hands each day's stored state to jobs: B traces the contacts of the infectious,
 D clusters them, C (every so many days) picks whom to vaccinate, which takes effect on the next day. A job that misses its
-deadline or fails goes back to the front of the queue; the first answer for a job counts, later ones are dropped.
+deadline has its Spark jobs cancelled and, as one that fails, goes back to the front of the queue; the first answer for a job
+counts, later ones are dropped.
 """
 
 from __future__ import annotations
 
 import time
+import uuid
 from collections import deque
 from collections.abc import Callable
 from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +24,7 @@ from ripplegraph.operators.seir import Epidemic, step
 from ripplegraph.runtime import materialize
 
 WAITING, READY, IN_FLIGHT, COMPLETED = "WAITING", "READY", "IN-FLIGHT", "COMPLETED"
+TIMELINE = "rank int, task string, step int, start double, stop double"
 LOG = "task_id long, task string, step int, status string, attempts int, value1 long, value2 long, start double, stop double"
 
 
@@ -33,6 +37,7 @@ class Job:
     prerequisite: int | None = None
     status: str = WAITING
     attempts: int = 0
+    worker: int = 0
     values: tuple[int, int] | None = None
     start: float = 0.0
     stop: float = 0.0
@@ -44,7 +49,7 @@ class Queue:
 
     def __init__(self, spark: SparkSession, workers: int = 3, timeout: float = 600.0, most_attempts: int = 4, ahead: int = 3):
         self.pool, self.workers, self.timeout, self.most_attempts, self.ahead = ThreadPoolExecutor(workers * most_attempts), workers, timeout, most_attempts, ahead
-        self.inherit = inheritable_thread_target(spark)
+        self.inherit, self.context, self.name = inheritable_thread_target(spark), spark.sparkContext, uuid.uuid4().hex
         self.jobs: dict[int, Job] = {}
         self.queue: deque[Job] = deque()
         self.flying: dict[Future, Job] = {}
@@ -69,8 +74,10 @@ class Queue:
             job.attempts += 1
             if job.attempts > self.most_attempts:
                 raise RuntimeError(f"job {job.task_id} failed {self.most_attempts} times")
+            busy = {j.worker for j in self.jobs.values() if j.status == IN_FLIGHT}
+            job.worker = next(w for w in range(1, self.workers + 1) if w not in busy)
             job.status, job.start, job.deadline = IN_FLIGHT, time.monotonic() - self.began, time.monotonic() + self.timeout
-            self.flying[self.pool.submit(self.inherit(job.run))] = job
+            self.flying[self.pool.submit(self.inherit(self._tagged(job)))] = job
         done, _ = wait(self.flying, seconds, FIRST_COMPLETED) if self.flying else ((), ())
         for f in done:
             job = self.flying.pop(f)
@@ -82,8 +89,24 @@ class Queue:
                 self._again(job)
         for job in self.jobs.values():
             if job.status == IN_FLIGHT and time.monotonic() > job.deadline:
+                self.context.cancelJobsWithTag(self._tag(job))
                 self._again(job)
 
+    def _tag(self, job: Job) -> str:
+        return f"{self.name}-{job.task_id}-{job.attempts}"
+
+    def _tagged(self, job: Job) -> Callable[[], tuple[int, int]]:
+        tag = self._tag(job)
+
+        def run() -> tuple[int, int]:
+            self.context.addJobTag(tag)
+            try:
+                return job.run()
+            finally:
+                self.context.removeJobTag(tag)
+
+        return run
+
     def _again(self, job: Job) -> None:
         job.status = READY
         self.queue.appendleft(job)
@@ -93,8 +116,8 @@ class Queue:
             self.turn(0.2)
 
 
-def run_pipeline(people: DataFrame, adj: DataFrame, state: DataFrame, epidemic: Epidemic, every: int = 10, vaccines: int | None = None, depth: int = 2, rounds: int = 20, workers: int = 3, timeout: float = 600.0, fault: Callable[[Job], None] | None = None) -> DataFrame:
-    """The log of all jobs: B's values are source_count and contacts_traced, C's the number of targets and the first, D's clusters and
+def timed_pipeline(people: DataFrame, adj: DataFrame, state: DataFrame, epidemic: Epidemic, every: int = 10, vaccines: int | None = None, depth: int = 2, rounds: int = 20, workers: int = 3, timeout: float = 600.0, fault: Callable[[Job], None] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The log of all jobs, and the timeline with a row for each day's spread (rank 0) and for each completed job (its worker). B's values are source_count and contacts_traced, C's the number of targets and the first, D's clusters and
     largest. `fault` is called before each run of a job, so that tests can stall or break it."""
     spark, n = state.sparkSession, people.count()
     k = n // 100 if vaccines is None else vaccines
@@ -102,6 +125,7 @@ def run_pipeline(people: DataFrame, adj: DataFrame, state: DataFrame, epidemic:
     scores = centrality.pagerank(people, adj, rounds)
     queue, number, targets = Queue(spark, workers, timeout), 0, {}
     due: tuple[int, int] | None = None
+    spine: list[tuple[int, str, int, float, float]] = []
 
     def job(task: str, day: int, run: Callable[[], tuple[int, int]]) -> None:
         nonlocal number
@@ -120,7 +144,9 @@ def run_pipeline(people: DataFrame, adj: DataFrame, state: DataFrame, epidemic:
         if due:
             queue.drain({due[0]})
             state, due = centrality.vaccinate(state, targets[due[1]]), None
+        began = time.monotonic() - queue.began
         state = materialize(step(adj, state, epidemic, day), "scheduled-day")
+        spine.append((0, "A", day, began, time.monotonic() - queue.began))
 
         def trace(now: DataFrame = state) -> tuple[int, int]:
             return tuple(tracing.trace(adj, tracing.infectious(now), depth).first())
@@ -143,4 +169,10 @@ def run_pipeline(people: DataFrame, adj: DataFrame, state: DataFrame, epidemic:
     queue.pool.shutdown(wait=False)
     adj.unpersist()
     rows = [(j.task_id, j.task, j.step, j.status, j.attempts, *j.values, j.start, j.stop) for j in queue.jobs.values()]
-    return spark.createDataFrame(rows, LOG)
+    lines = spine + [(j.worker, j.task, j.step, j.start, j.stop) for j in queue.jobs.values()]
+    return spark.createDataFrame(rows, LOG), spark.createDataFrame(lines, TIMELINE)
+
+
+def run_pipeline(people: DataFrame, adj: DataFrame, state: DataFrame, epidemic: Epidemic, **options: Any) -> DataFrame:
+    """The log of timed_pipeline."""
+    return timed_pipeline(people, adj, state, epidemic, **options)[0]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import socket
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,25 @@ WEAK = "workers int, people int, seconds double"
 TASKS = "task string, threads int, seconds double, check long"
 MEMORY = "people int, peak_kb long, seconds double"
 
+#: The published files' columns, and ours by place.
+HEADERS = {
+    "curve": ("step,susceptible,exposed,infectious,recovered", "step,susceptible,exposed,infectious,recovered"),
+    "response": (
+        "step,susceptible,exposed,infectious,recovered,newlyInfected,contactsTraced,clusters,largestCluster,vaccinatedThisStep",
+        "step,susceptible,exposed,infectious,recovered,newly_infected,contacts_traced,clusters,largest_cluster,vaccinated",
+    ),
+    "timeline": ("rank,task,step,start,end", "rank,task,step,start,stop"),
+    "timings": (
+        "label,processes,threads,numberOfNodes,networkType,cores,machine,seconds,computeSeconds,commSeconds,imbalance",
+        "label,processes,threads,people,network,cores,machine,seconds,compute_seconds,comm_seconds,imbalance",
+    ),
+    "degrees": ("degree,howManyPeople", "degree,people"),
+    "tasks": ("task,threads,seconds,check", "task,threads,seconds,answer"),
+    "modes": ("mode,processes,threads,seconds,speedup,comm", "mode,processes,threads,seconds,speedup,comm"),
+    "weak": ("workers,nodes,seconds", "workers,people,seconds"),
+    "memory": ("people,peakMemoryKB,seconds", "people,peak_kb,seconds"),
+}
+
 
 def read_edges(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     """Edges from text lines of two ids apart by white space, and the number of people: the largest id and one more. Each file is read up
@@ -51,6 +72,20 @@ def write_table(df: DataFrame, path: str, one_file: bool = False) -> None:
     (df.coalesce(1) if one_file else df).write.mode("overwrite").csv(path, header=True)
 
 
+def published(df: DataFrame, kind: str) -> DataFrame:
+    """df's columns of a kind of file in its order and with its names; others are left out."""
+    names, ours = (h.split(",") for h in HEADERS[kind])
+    return df.select(*(F.col(o).alias(n) for n, o in zip(names, ours, strict=True)))
+
+
+def hardware(spark: SparkSession) -> tuple[int, str]:
+    """The cores that the session counts on, and the driver's host name."""
+    return spark.sparkContext.defaultParallelism, socket.gethostname()
+
+
 def append_timing(row: DataFrame, path: str) -> None:
-    """Add timing rows to a folder of CSV files with headers."""
-    row.select(*(c.split()[0] for c in TIMINGS.split(", "))).coalesce(1).write.mode("append").csv(path, header=True)
+    """Add timing rows to a folder of CSV files with the published headers; cores and machine are this session's where row lacks them."""
+    for name, value in zip(("cores", "machine"), hardware(row.sparkSession), strict=True):
+        if name not in row.columns:
+            row = row.withColumn(name, F.lit(value))
+    published(row, "timings").coalesce(1).write.mode("append").csv(path, header=True)

@@ -26,3 +26,12 @@ def test_degrees_of_half_a_million(spark):
     bins = dict(graph.degree_histogram(graph.degree(spark.range(n), adj)).collect())
     assert (bins[3], bins[4]) == (399, 9947) and sum(bins.values()) == n
     assert [graph.halo_summary(adj, p, n).first()["ghosts"] for p in (2, 4, 8)] == [130444, 209681, 252926]
+
+
+def test_scale_free_degrees_of_half_a_million(spark):
+    n = 500_000
+    adj = graph.adjacency(generators.scale_free_exact(spark, n, 3, 777))
+    bins = dict(graph.degree_histogram(graph.degree(spark.range(n), adj)).collect())
+    assert [bins[d] for d in range(3, 10)] == [199939, 99874, 57273, 35643, 23888, 16678, 12218]
+    assert sorted(bins.items())[-2:] == [(2202, 1), (2379, 1)] and sum(bins.values()) == n
+    assert [graph.halo_summary(adj, p, n).first()["ghosts"] for p in (2, 4, 8)] == [440650, 981671, 1511322]

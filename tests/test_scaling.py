@@ -61,6 +61,33 @@ def test_overlap(spark):
     assert tuple(scaling.timeline_overlap(t.limit(0)).first()) == (0, None)
 
 
+def test_overlap_against_a_sweep(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.choice("ABCDE"), float(a := rnd.randrange(60)), float(a + rnd.randrange(9))) for _ in range(300)]
+    moves, live, most, at = sorted([(s, 1, t) for t, s, _ in rows] + [(e, -1, t) for t, _, e in rows]), dict.fromkeys("ABCDE", 0), 0, None
+    for when, group in itertools.groupby(moves, lambda m: m[:2]):
+        for _, change, task in group:
+            live[task] += change
+        now = sum(v > 0 for v in live.values())
+        if now > most:
+            most, at = now, when[0]
+    t = spark.createDataFrame([*rows, ("F", 1.0, None), ("G", None, 2.0)], "task string, start double, stop double")
+    assert tuple(scaling.timeline_overlap(t).first()) == (most, at)
+
+
+def test_means_modes_and_machines(spark):
+    kind = "processes int, threads int, seconds double, comm double"
+    a = spark.createDataFrame([(1, 1, 4.0, 0.0), (1, 1, 5.0, 0.0), (2, 1, 2.0, 12.4), (1, 2, 3.0, 0.0), (2, 2, 1.0, 20.6), (1, 1, None, None)], kind)
+    b = spark.createDataFrame([(1, 1, 6.0, 0.0), (2, 1, 6.0, 0.0), (4, 1, 3.0, 0.0)], kind)
+    means = {(r["processes"], r["threads"]): (r["runs"], r["mean_seconds"]) for r in scaling.mean_runs(a).collect()}
+    assert means == {(1, 1): (2, 4.5), (2, 1): (1, 2.0), (1, 2): (1, 3.0), (2, 2): (1, 1.0)}
+    modes = [tuple(r) for r in scaling.combined_modes(scaling.grid_medians(a)).collect()]
+    assert modes == [("sequential", 1, 1, 4.5, 1.0, 0.0), ("hybrid", 1, 2, 3.0, 1.5, 0.0), ("hybrid", 2, 1, 2.0, 2.25, 12.0), ("hybrid", 2, 2, 1.0, 4.5, 21.0)]
+    both = {(r["series"], r["workers"]): (r["here"], r["there"], r["lead"]) for r in scaling.compare_machines(*map(scaling.grid_medians, (a, b))).collect()}
+    assert both == {("processes", 1): (1.0, 1.0, 1.0), ("threads", 1): (1.0, 1.0, 1.0), ("processes", 2): (2.25, 1.0, 2.25), ("threads", 2): (1.5, None, None), ("processes", 4): (None, 2.0, None)}
+    assert tuple(scaling.rank_totals(spark.createDataFrame([], "rank int, compute double, comm double, border long, ghosts long")).first()) == (0.0, 0.0, 0, 0)
+
+
 def test_amdahl_of_perfect_speedup(spark):
     r = spark.createDataFrame([(1, 8.0), (2, 4.0), (4, 2.0)], "workers int, seconds double")
     assert {tuple(x) for x in scaling.amdahl_fit(r).collect()} == {(1, 1.0, 0.0, 1.0), (2, 2.0, 0.0, 2.0), (4, 4.0, 0.0, 4.0)}

@@ -29,6 +29,25 @@ def test_jobs_survive_a_silent_and_a_failing_run(spark):
     assert [r["task"] for r in sorted(plain, key=lambda r: r["task_id"])] == ["B", "D", "C", "B", "D", "B", "D", "C"]
 
 
+def test_a_late_run_is_cancelled(spark):
+    runs = []
+
+    def slow():
+        runs.append(time.monotonic())
+        if len(runs) == 1:  # by far more work than the deadline leaves
+            spark.range(0, 1 << 40, 1, 4).selectExpr("sum(hash(id))").first()
+        return len(runs), 0
+
+    queue = scheduler.Queue(spark, workers=1, timeout=4)
+    queue.add(scheduler.Job(0, "B", 0, slow))
+    queue.drain()
+    assert queue.jobs[0].values == (2, 0) and queue.jobs[0].attempts == 2
+    until = time.monotonic() + 20
+    while spark.sparkContext.statusTracker().getActiveJobsIds() and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not spark.sparkContext.statusTracker().getActiveJobsIds()
+
+
 def test_stream_analyses_each_day_once(spark, tmp_path):
     n = 60
     adj = graph.adjacency(generators.small_world(spark, n, 4, 0.2, 3)).persist()

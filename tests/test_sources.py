@@ -57,3 +57,12 @@ def test_copy_model_is_heavy_tailed(spark):
     assert edges.where("b IS NULL OR b > a").count() == 0
     d = [r["degree"] for r in graph.degree(spark.range(2000), graph.adjacency(edges)).collect()]
     assert max(d) > 20 * sorted(d)[1000]
+
+
+def test_timings_are_appended_under_published_headers(spark, tmp_path):
+    row = spark.createDataFrame([("a", 2, 4, 10, "s", 1.5, 1.0, 0.5, 1.25)], "label string, processes int, threads int, people int, network string, seconds double, compute_seconds double, comm_seconds double, imbalance double")
+    for _ in range(2):
+        tables.append_timing(row, str(tmp_path / "t"))
+    assert {f.read_text().splitlines()[0] for f in (tmp_path / "t").glob("*.csv")} == {"label,processes,threads,numberOfNodes,networkType,cores,machine,seconds,computeSeconds,commSeconds,imbalance"}
+    got = tables.read_timings(spark, str(tmp_path / "t")).collect()
+    assert [(r["people"], r["cores"], r["seconds"], r["imbalance"]) for r in got] == [(10, tables.hardware(spark)[0], 1.5, 1.25)] * 2
