@@ -3,6 +3,7 @@
 Each round hangs every vertex's larger neighbours on the least vertex it sees (large star), then its smaller ones (small
 star). Edges never multiply, and the edge set turns into stars within a logarithmic number of rounds. Every round is one
 pre-aggregated minimum per vertex and one join, written to the shared folder, so nothing is collected and lineage stays short.
+A vertex with more than a HUBS-th of all rows would be one task's: there are at most HUBS of these, so they are broadcast.
 """
 
 from __future__ import annotations
@@ -12,6 +13,19 @@ from pyspark.sql import functions as F
 
 from ripplegraph.runtime import drop, materialize
 
+#: The most vertices that are broadcast, and the rows of a vertex that are never too many for a task.
+HUBS, FEW = 10_000, 256
+
+
+def _with_least(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """rows(u, v) with u's m of least(u, m, n), where the n add up to total at most; rows of hubs stay where they are."""
+    if total <= 16 * FEW:
+        return rows.join(least.select("u", "m"), "u")
+    hubs = least.where(F.col("n") > max(FEW, total // HUBS)).select("u", F.col("m").alias("hub"))
+    told = rows.join(F.broadcast(hubs), "u", "left")  # fewer than HUBS rows
+    near = told.where("hub IS NULL").select("u", "v").join(least.select("u", "m"), "u").select("u", "v", "m")
+    return near.unionAll(told.where("hub IS NOT NULL").select("u", "v", F.col("hub").alias("m")))
+
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """edges(a long, b long), undirected, to (id, component): each vertex of an edge and the least vertex of its component.
@@ -29,11 +43,11 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         before = mark
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = _with_least(both.where("v > u"), least, 2 * mark[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        joined = _with_least(large, least, mark[0])
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).distinct()
         last, now = now, materialize(small, "small-star")
         drop(last)
