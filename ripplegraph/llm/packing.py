@@ -37,11 +37,13 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ripplegraph.llm import textkit
-from ripplegraph.runtime import drop, materialize, ship
+from ripplegraph.runtime import materialize, ship
 
 LENGTH = 1024
 DIMS, BITS, SLOTS = 3, 12, 1024
 RANKS, NAMED = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
+#: Rows of places a range holds at least: less would only make many tiny files, and every file written starts processes on the executor.
+RANGE_ROWS = 20_000
 SPECIAL = {"<|endoftext|>": 50256}
 SPACES, SPACED = 50_000, re.compile(r"\s{64,}")
 #: Coordinates are summed as whole numbers of 1 / SCALE, so that centre and spread don't depend on the order of tasks.
@@ -174,11 +176,9 @@ def pack(documents: DataFrame, length: int = LENGTH, ranks: str = RANKS) -> Data
     centre = [float(t) / max(n, 1) / SCALE for t in told[:DIMS]]
     spread = [max(float(t) / max(n, 1) / SCALE**2 - c * c, 0) ** 0.5 for t, c in zip(told[DIMS:], centre, strict=True)]
     keyed = tokens.select("row", "doc_id", "n", *points).mapInArrow(_keyed(centre, [max(s, 1e-9) for s in spread]), "row long, doc_id long, n long, key long")
-    keyed = materialize(keyed, "packing-keys")
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // RANGE_ROWS + 1)
     sorted_rows = keyed.repartitionByRange(ranges, "key", "doc_id", "row").sortWithinPartitions("key", "doc_id", "row")
     order = materialize(sorted_rows.select("row", "n").mapInArrow(_numbered, "row long, part int, begin long, end long"), "packing-order")
-    drop(keyed)
     offsets, total = [], 0
     for part, end in sorted(tuple(r) for r in order.groupBy("part").agg(F.max("end")).collect()):  # as many rows as ranges
         offsets.append((part, total))

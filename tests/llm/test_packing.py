@@ -97,3 +97,24 @@ def test_neighbours_on_the_curve_are_alike(spark):
 
 def test_empty(spark):
     assert P.pack(frame(spark, [])).count() == 0
+
+
+def test_ranges_are_as_many_as_the_rows_need(spark, monkeypatch):
+    rows = [(i // 2, None if i % 9 == 0 else "lake boat " * (i % 40)) for i in range(200)]
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    parts, got = [], []
+    stored = P.materialize
+    monkeypatch.setattr(P, "materialize", lambda df, name, **k: (parts.append((name, (out := stored(df, name, **k)).inputFiles())), out)[1])
+    for size in (20_000, 70, 10):
+        monkeypatch.setattr(P, "RANGE_ROWS", size)
+        got.append(sorted(tuple(r) for r in P.pack(frame(spark, rows)).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got[0] == got[1] == got[2]
+    assert [name for name, _ in parts] == ["packing-tokens", "packing-order"] * 3  # nothing else is stored
+    few, some, many = (len(files) for name, files in parts if name == "packing-order")
+    assert few == 1 < some <= 3 < many <= 7
+
+
+def test_readers_hold_few_rows_of_long_texts_at_once(spark):
+    P.ship(spark)
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 1000
